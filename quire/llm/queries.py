@@ -5,7 +5,9 @@ from __future__ import annotations
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
+from quire.llm.common import held_out
 from quire.session import ship, table
 
 
@@ -21,8 +23,28 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(ship(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.quality import score_quality, train_quality
+
+    docs, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = score_quality(docs, train_quality(docs, labels, ~held_out(F.col("doc_id"), 5, 0)))
+    return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "difference")
+
+
+def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.toxicity import score_toxicity, train_toxicity
+
+    docs, labels = table(ship(spark), sf_dir, "documents"), table(spark, sf_dir, "labels")
+    out = score_toxicity(docs, train_toxicity(docs, labels, ~held_out(F.col("doc_id"), 4, 2)))
+    return out.select("doc_id", held_out(F.col("doc_id"), 4, 2).alias("held_out"), "score", "predicted")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {"op10_token_counts": op10_token_counts}
+    return {
+        "op2_quality_classifier": op2_quality_classifier,
+        "op9_toxicity": op9_toxicity,
+        "op10_token_counts": op10_token_counts,
+    }
 
 
 def oracle_sql() -> dict[str, str]:
