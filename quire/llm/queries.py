@@ -43,6 +43,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.neighbours import nearest
+
+    return nearest(table(ship(spark), sf_dir, "embeddings"), F.col("vec_id") % 20 == 0)
+
+
 def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.toxicity import score_toxicity, train_toxicity
 
@@ -56,6 +62,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": op2_quality_classifier,
         "op4_decontamination": op4_decontamination,
         "op5_packing": op5_packing,
+        "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
     }
