@@ -43,6 +43,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.language_model import score_texts
+
+    return score_texts(table(ship(spark), sf_dir, "documents"), held_out(F.col("doc_id"), 7, 2))
+
+
 def op8_nearest_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.neighbours import nearest
 
@@ -62,6 +68,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op2_quality_classifier": op2_quality_classifier,
         "op4_decontamination": op4_decontamination,
         "op5_packing": op5_packing,
+        "op7_language_model": op7_language_model,
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_toxicity": op9_toxicity,
         "op10_token_counts": op10_token_counts,
