@@ -31,6 +31,12 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return out.select("doc_id", held_out(F.col("doc_id"), 5, 0).alias("held_out"), "score", "predicted", "difference")
 
 
+def op3_suffix_array_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.suffix_dedup import dedup_substrings
+
+    return dedup_substrings(table(ship(spark), sf_dir, "documents")).select("doc_id", "n_bytes", "n_removed", "n_spans", "kept_sha256")
+
+
 def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.decontaminate import decontaminate
 
@@ -66,6 +72,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op2_quality_classifier": op2_quality_classifier,
+        "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_packing": op5_packing,
         "op7_language_model": op7_language_model,
