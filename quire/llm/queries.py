@@ -23,6 +23,12 @@ def op10_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     return token_counts(table(ship(spark), sf_dir, "documents"), vocabulary("byte_bpe_50k.json"))
 
 
+def op1_minhash_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.minhash import near_duplicates
+
+    return near_duplicates(table(ship(spark), sf_dir, "documents"))
+
+
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.quality import score_quality, train_quality
 
@@ -71,6 +77,7 @@ def op9_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_minhash_dedup": op1_minhash_dedup,
         "op2_quality_classifier": op2_quality_classifier,
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_decontamination": op4_decontamination,
