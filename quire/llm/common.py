@@ -9,6 +9,8 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from quire.session import materialize
+
 #: Rows that a worker turns into Python objects at a time.
 SLICE = 256
 
@@ -60,3 +62,17 @@ def chunks(items, n: int) -> Iterator[list]:
     it = iter(items)
     while part := list(islice(it, n)):
         yield part
+
+
+def keyed(docs: DataFrame, key: str, text: str, carry: list[str] | None = None) -> DataFrame:
+    """(k, key, text, carried columns) with a unique long ``k`` in the documents' order: the key itself, if it can be.
+
+    Otherwise rows are numbered by key, null keys first, then by their texts' hashes.
+    """
+    plain = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"), *(carry or []))
+    whole = dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
+    if whole and plain.groupBy("key").count().filter((F.col("count") > 1) | F.col("key").isNull()).limit(1).count() == 0:
+        return plain.select(F.col("key").cast("long").alias("k"), *plain.columns)
+    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    order = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc(), F.rand(7).asc()]  # equal rows are spread
+    return materialize(plain.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("k"), *plain.columns), "keyed")

@@ -55,6 +55,12 @@ def op5_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pack(table(ship(spark), sf_dir, "documents"), vocabulary("word_bpe_49k.json"))
 
 
+def op6_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from quire.llm.line_dedup import dedup_lines
+
+    return dedup_lines(table(ship(spark), sf_dir, "documents")).drop("kept")
+
+
 def op7_language_model(spark: SparkSession, sf_dir: str) -> DataFrame:
     from quire.llm.language_model import score_texts
 
@@ -82,6 +88,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op3_suffix_array_dedup": op3_suffix_array_dedup,
         "op4_decontamination": op4_decontamination,
         "op5_packing": op5_packing,
+        "op6_line_dedup": op6_line_dedup,
         "op7_language_model": op7_language_model,
         "op8_nearest_neighbours": op8_nearest_neighbours,
         "op9_toxicity": op9_toxicity,
@@ -90,7 +97,9 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op4_decontamination": OP4_SQL}
+    from quire.llm.line_dedup import LINE_SQL
+
+    return {"op4_decontamination": OP4_SQL, "op6_line_dedup": LINE_SQL}
 
 
 OP4_SQL = r"""

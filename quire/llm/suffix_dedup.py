@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import SLICE
+from quire.llm.common import SLICE, keyed
 from quire.session import discard, materialize
 
 ODD = 0x9E3779B97F4A7C15
@@ -263,18 +263,6 @@ def repeated_singles(segments: DataFrame, width: int) -> DataFrame:
     return each.join(firsts.select("window", F.col("first.k").alias("fk"), F.col("first.s").alias("fs")), "window").filter("k != fk or s != fs").select("k", "s", (F.col("s") + width).alias("e"))
 
 
-def keyed(docs: DataFrame, key: str, text: str) -> tuple[DataFrame, DataFrame | None]:
-    """(k, key, text) with a unique long ``k`` in the documents' order: the key itself, if it can be."""
-    plain = docs.select(F.col(key).alias("key"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    whole = dict(docs.dtypes)[key] in ("bigint", "int", "smallint", "tinyint")
-    if whole and plain.groupBy("key").count().filter((F.col("count") > 1) | F.col("key").isNull()).limit(1).count() == 0:
-        return plain.select(F.col("key").cast("long").alias("k"), "key", "text"), None
-    parts = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    order = [F.col("key").asc_nulls_first(), F.xxhash64("text").asc(), F.rand(7).asc()]  # equal rows are spread
-    kept = materialize(plain.repartitionByRange(parts, *order).sortWithinPartitions(*order).select(F.monotonically_increasing_id().alias("k"), "key", "text"), "keyed")
-    return kept, kept
-
-
 def removed_spans(rows: DataFrame, *, width: int, seed: int, hot: int, chunk_bytes: int) -> list[DataFrame]:
     """Tables of (k, s, e): the bytes [s, e) of document k go."""
     runs = least_hashes(rows, width, seed)
@@ -324,7 +312,7 @@ def dedup_substrings(
     """One row a document: key, n_bytes, n_removed, n_spans, kept_sha256, and ``kept``, the bytes that stay."""
     if not 8 <= seed <= width:
         raise ValueError("seed must be 8 to width bytes")
-    rows, _ = keyed(docs, key, text)
+    rows = keyed(docs, key, text)
     spans = None
     for part in removed_spans(rows, width=width, seed=seed, hot=hot, chunk_bytes=chunk_bytes):
         spans = part if spans is None else spans.unionByName(part)
