@@ -170,3 +170,22 @@ def score_quality(docs: DataFrame, model: QualityModel, *, threshold: float = 0.
     """One row a document: key, score, predicted (1 at ``threshold`` or more) and the normalised difference."""
     out = featured(docs, model, text, [key])
     return out.select(key, "score", (F.col("score") >= threshold).cast("int").alias("predicted"), "difference")
+
+
+def accepted(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3, text: str = "text") -> DataFrame:
+    """The rows of ``docs`` whose texts score ``threshold`` or more, with all their columns. No shuffle."""
+    import pyarrow as pa
+
+    shared = docs.sparkSession.sparkContext.broadcast(model)
+    at = docs.columns.index(text)
+
+    def run(batches):
+        own = shared.value
+        of = own.features()
+        for batch in batches:
+            found = [of(t.as_py()) for t in batch.column(at)]
+            if found:
+                keep = own.probability(*np.array(found).T) >= threshold
+                yield batch.filter(pa.array(keep))
+
+    return docs.mapInArrow(run, docs.schema)
