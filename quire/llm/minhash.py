@@ -258,7 +258,7 @@ def components(links: DataFrame) -> DataFrame:
 def classed(
     docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, key: str = "doc_id", text: str = "text", carry: list[str] | None = None,
 ) -> DataFrame:
-    """rid, key, class_id, kept and ``carry`` of every row."""
+    """key, class_id, kept and ``carry`` of every row."""
     table = materialize(signed(docs, key, text, shingle=shingle, bands=bands, rows=rows, carry=carry or []), "signed")
     least = F.min(F.struct(F.col("key").isNull().alias("n"), "key", "rid")).alias("least")
     nodes = materialize(
@@ -282,14 +282,14 @@ def classed(
     ).select("node", F.coalesce("class", "own_class").alias("class"))
     out = table.drop("bands", "own").join(materialize(own, "classes"), "node", "left")
     return out.select(
-        "rid", F.col("key").alias(key), F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class.key")).alias("class_id"),
+        "key", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class.key")).alias("class_id"),
         (F.col("node").isNull() | (F.col("rid") == F.col("class.rid"))).alias("kept"), *(carry or []),
     )
 
 
-def near_duplicates(docs: DataFrame, **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
     """One row a document: key, class_id and whether it is the one of its class that is kept."""
-    return classed(docs, **options).drop("rid")
+    return classed(docs, key=key, **options).withColumnRenamed("key", key)
 
 
 def distinct_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
