@@ -9,12 +9,14 @@ the same with a probability of exactly their weighted Jaccard similarity. Points
 time, and a process stops once it is beyond all registers, so a signature costs a fixed number of
 points besides one for each shingle.
 
-Signatures are banded; texts that share a band meet in its bucket. No bucket emits its pairs: in
-each round its members meet a few hubs (one in the first round, twice as many in each further one)
-and a multiset overlap is computed for these pairs alone. A member close to a hub is linked. What is
-left are members close to no hub yet; a linked one has to meet these only if the triangle inequality
-(1 - weighted Jaccard is a metric) allows that they are close. So classes are those that all pairs
-of each bucket would give. Classes are the connected components of links.
+Signatures are banded; texts that share a band meet in its bucket. No bucket emits its pairs. First
+its members meet one hub, the text that shares most buckets with others, and those close to it are
+linked. Classes are the connected components of links, so a bucket whose members are in one class by
+now, through whatever bucket, is done. In the others, a member of the hub's class has to meet the
+rest only if the triangle inequality (1 - weighted Jaccard is a metric) allows that they are close.
+These meet in blocks of ``block`` members, which compute the overlap of members of different classes
+and emit a spanning forest of the links. So classes are those that all pairs of each bucket would
+give, while only what a hub can't decide is compared by pairs, within bounded blocks.
 
 Texts with the same words are one text in all of this; their rows join their class at the end.
 
@@ -29,10 +31,11 @@ from __future__ import annotations
 
 import hashlib
 import re
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Memo
@@ -61,14 +64,26 @@ class Shingler:
         self.memo = Memo(xxhash.xxh64_intdigest, most=200_000)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-        n = min(self.shingle, len(words))
-        if not n:
-            return np.zeros(0, np.uint64), np.zeros(0, np.int64)
-        w = np.fromiter(map(self.memo.__getitem__, words), dtype=np.uint64, count=len(words))
-        h = np.full(len(words) - n + 1, n, dtype=np.uint64)
+        return self.many([words])[0]
+
+    def many(self, texts: list[list[bytes]]) -> list[tuple[np.ndarray, np.ndarray]]:
+        sizes = [len(words) for words in texts]
+        w = np.fromiter(map(self.memo.__getitem__, chain.from_iterable(texts)), dtype=np.uint64, count=sum(sizes))
+        by = {n: self.hashed(w, n) for n in {min(self.shingle, size) for size in sizes} if n}
+        out, at = [], 0
+        for size in sizes:
+            n = min(self.shingle, size)
+            own = by[n][at : at + size - n + 1] if n else np.zeros(0, np.uint64)
+            out.append(np.unique(own, return_counts=True))
+            at += size
+        return out
+
+    @staticmethod
+    def hashed(w: np.ndarray, n: int) -> np.ndarray:
+        h = np.full(max(0, len(w) - n + 1), n, dtype=np.uint64)
         for i in range(n):
-            h = mix(h * MIX[0] + w[i : len(words) - n + 1 + i])
-        return np.unique(h, return_counts=True)
+            h = h * MIX[0] + w[i : i + len(h)]
+        return mix(h)
 
 
 def words_of(text: str | None) -> list[bytes]:
@@ -161,12 +176,12 @@ def signed(docs: DataFrame, key: str, text: str, *, shingle: int, bands: int, ro
                     if node is not None and node not in fresh and node not in fresh.old:
                         fresh[node]
                         new.append(len(nodes))
-                        bags.append(shingler(words))
+                        bags.append(words)
                     nodes.append(node)
                     at += 1
                 banded, own = [None] * len(nodes), [None] * len(nodes)
                 if bags:
-                    for i, b in zip(new, band_hashes(signatures(bags, bands * rows), bands).view(np.int64)):
+                    for i, b in zip(new, band_hashes(signatures(shingler.many(bags), bands * rows), bands).view(np.int64)):
                         banded[i], own[i] = b, texts[begin + i].as_py()
                 part = batch.slice(begin, len(nodes))
                 yield pa.RecordBatch.from_arrays(
@@ -199,42 +214,112 @@ def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
     return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, far double")
 
 
-def links_of(buckets: DataFrame, texts: DataFrame, *, shingle: int, most: float) -> DataFrame | None:
+def elements(nodes: DataFrame, shingle: int) -> DataFrame:
+    """(node, elements): the multiset of shingles as a set, the n-th copy of a shingle an element of its own."""
+
+    def run(batches):
+        shingler = Shingler(shingle)
+        for batch in batches:
+            sets = []
+            for t in batch.column(1):
+                h, c = shingler(words_of(t.as_py()))
+                copy = np.arange(c.sum()) - np.repeat(np.cumsum(c) - c, c)
+                sets.append(mix(np.repeat(h, c) + copy.astype(np.uint64) * MIX[1]).view(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(sets, pa.list_(pa.int64()))], names=["node", "elements"])
+
+    return nodes.select("node", "own").mapInArrow(run, "node binary, elements array<long>")
+
+
+def forest(nodes: list[bytes], roots: list[bytes], sets: list[np.ndarray], most: float) -> list[tuple[bytes, bytes]]:
+    """Links that join all members of different classes which are close."""
+    n = len(nodes)
+    sizes = np.array([len(x) for x in sets], dtype=np.float32)
+    every, at = np.unique(np.concatenate(sets), return_inverse=True)
+    often = np.bincount(at) > 1
+    place = np.cumsum(often) - 1
+    row = np.repeat(np.arange(n), sizes.astype(np.int64))
+    keep = often[at]
+    both = np.zeros((n, n), dtype=np.float32)
+    row, col, width = row[keep], place[at[keep]], int(often.sum())
+    for begin in range(0, width, 4096):
+        own = (col >= begin) & (col < begin + 4096)
+        part = np.zeros((n, min(4096, width - begin)), dtype=np.float32)
+        part[row[own], col[own] - begin] = 1
+        both += part @ part.T
+    far = 1 - both / (sizes[:, None] + sizes[None, :] - both)
+    near = np.triu(far <= most, 1)
+    up = {r: r for r in roots}
+
+    def top(r):
+        while up[r] != r:
+            r = up[r]
+        return r
+
+    out = []
+    for i, j in zip(*(x.tolist() for x in np.nonzero(near))):
+        a, b = top(roots[i]), top(roots[j])
+        if a != b:
+            up[max(a, b)] = min(a, b)
+            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+    return out
+
+
+def met_in_blocks(state: DataFrame, texts: DataFrame, *, shingle: int, most: float, block: int) -> DataFrame:
+    """(a, b): what is close in the buckets of ``state`` (bucket, node, root), as far as it joins classes."""
+    sized = state.join(state.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "bucket").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    # Members of a bucket of several blocks meet every other block of it.
+    placed = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
+        "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root"
+    )
+    involved = elements(texts.join(state.select("node").distinct(), "node", "left_semi"), shingle)
+    full = placed.join(involved, "node").repartition("bucket", "i", "j").sortWithinPartitions("bucket", "i", "j", "node")
+
+    def run(batches):
+        held, open_key = [], None
+
+        def close():
+            if len(held) < 2:
+                return
+            found = forest(*map(list, zip(*held)), most)
+            if found:
+                yield pa.RecordBatch.from_arrays([pa.array([x[0] for x in found], pa.binary()), pa.array([x[1] for x in found], pa.binary())], names=["a", "b"])
+
+        for batch in batches:
+            keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
+            nodes, roots, lists = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
+            for n, key in enumerate(keys):
+                if key != open_key:
+                    yield from close()
+                    held, open_key = [], key
+                held.append((nodes[n], roots[n], lists[n].values.to_numpy(zero_copy_only=False)))
+        yield from close()
+
+    return full.select("bucket", "i", "j", "node", "root", "elements").mapInArrow(run, "a binary, b binary")
+
+
+def links_of(buckets: DataFrame, texts: DataFrame, *, shingle: int, most: float, block: int) -> DataFrame:
     """(a, b): links between nodes, enough of them that classes are whole. ``buckets``: (bucket, node)."""
-    state = materialize(buckets.withColumn("linked", F.lit(False)), "state")
-    known = links = None
-    hubs_each = 1
-    while True:
-        order = Window.partitionBy("bucket").orderBy("node")
-        unlinked = state.filter(~F.col("linked"))
-        if hubs_each == 1:
-            hubs = unlinked.groupBy("bucket").agg(F.min("node").alias("hub"))
-        else:
-            hubs = unlinked.withColumn("n", F.row_number().over(order)).filter(F.col("n") <= hubs_each).select("bucket", F.col("node").alias("hub"))
-        met = state.join(hubs, "bucket").filter("node != hub").select("bucket", "node", "linked", "hub", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-        met = materialize(met, "met")
-        pairs = met.select("a", "b").distinct()
-        if known is not None:
-            pairs = pairs.join(known, ["a", "b"], "left_anti")
-        found = materialize(compared(pairs, texts, shingle), "pairs")
-        close = found.filter(F.col("far") <= most).select("a", "b")
-        links = close if links is None else links.unionByName(close)
-        known = found if known is None else known.unionByName(found)
-        seen = met.join(known, ["a", "b"]).select("bucket", "node", "linked", "hub", "far")
-        # A hub has met everyone and leaves; so do linked members that can't be close to one still unlinked.
-        is_hub = hubs.select("bucket", F.col("hub").alias("node"))
-        after = seen.groupBy("bucket", "node").agg((F.first("linked") | (F.min("far") <= most)).alias("linked")).join(is_hub, ["bucket", "node"], "left_anti")
-        apart = seen.drop("linked").join(after.filter(~F.col("linked")), ["bucket", "node"], "left_semi").groupBy("bucket", "hub").agg(F.min("far").alias("nearest"))
-        fits = seen.drop("linked").join(apart, ["bucket", "hub"]).groupBy("bucket", "node").agg(F.min(F.col("far") >= F.col("nearest") - most - 1e-9).alias("fits"))
-        after = after.join(fits, ["bucket", "node"]).filter(~F.col("linked") | F.col("fits"))  # no row of fits: nobody is unlinked
-        whole = after.groupBy("bucket").agg(F.count("*").alias("n"), F.min("linked").alias("all_linked")).filter("n > 1 and not all_linked")
-        following = materialize(after.join(whole, "bucket", "left_semi").select("bucket", "node", "linked"), "state")
-        discard(met)
-        discard(state)
-        state = following
-        hubs_each *= 2
-        if state.limit(1).count() == 0:
-            return links
+    sized = buckets.join(buckets.groupBy("bucket").agg((F.count("*") - 1).alias("others")), "bucket")
+    shared = sized.groupBy("node").agg(F.sum("others").alias("shared"))
+    hubs = buckets.join(shared, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("shared")).alias("order"), "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"))
+    met = buckets.join(hubs, "bucket").filter("node != hub").select("bucket", "node", "hub", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
+    met = materialize(met, "met")
+    found = materialize(compared(met.select("a", "b").distinct(), texts, shingle), "pairs")
+    links = found.filter(F.col("far") <= most).select("a", "b")
+    roots = components(links)
+    of_node, of_hub = roots.withColumnRenamed("root", "r"), roots.select(F.col("node").alias("hub"), F.col("root").alias("h"))
+    seen = met.join(found, ["a", "b"]).join(of_node, "node", "left").join(of_hub, "hub", "left").select(
+        "bucket", "node", "far", F.coalesce("r", "node").alias("root"), (F.coalesce("r", "node") != F.coalesce("h", "hub")).alias("apart")
+    )
+    seen = materialize(seen, "seen")
+    # The hub has met everyone and leaves; so do members of its class that can't be close to one of another.
+    bounds = seen.filter("apart").groupBy("bucket").agg(F.min("far").alias("nearest"))
+    staying = materialize(seen.join(bounds, "bucket").filter(F.col("apart") | (F.col("far") >= F.col("nearest") - most - 1e-9)).select("bucket", "node", "root"), "staying")
+    several = staying.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("bucket")
+    more = materialize(met_in_blocks(staying.join(several, "bucket", "left_semi"), texts, shingle=shingle, most=most, block=block), "more")
+    for old in (met, seen, staying):
+        discard(old)
+    return links.unionByName(more)
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -256,7 +341,8 @@ def components(links: DataFrame) -> DataFrame:
 
 
 def classed(
-    docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, key: str = "doc_id", text: str = "text", carry: list[str] | None = None,
+    docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, block: int = 512,
+    key: str = "doc_id", text: str = "text", carry: list[str] | None = None,
 ) -> DataFrame:
     """key, class_id, kept and ``carry`` of every row."""
     table = materialize(signed(docs, key, text, shingle=shingle, bands=bands, rows=rows, carry=carry or []), "signed")
@@ -270,7 +356,7 @@ def classed(
     buckets = materialize(placed.join(shared, "bucket").select("bucket", "node"), "buckets")
     involved = buckets.select("node").distinct()
     texts = materialize(sole.select("node", "own").join(involved, "node", "left_semi"), "texts")
-    links = links_of(buckets, texts, shingle=shingle, most=1 - similarity + 1e-9)
+    links = links_of(buckets, texts, shingle=shingle, most=1 - similarity + 1e-9, block=block)
     discard(buckets)
     roots = components(links)
     discard(texts)
