@@ -15,44 +15,75 @@ itself; an empty table gives no rows; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import zlib
 from array import array
+from functools import cache
 
 import pyarrow as pa
-import regex
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Memo, map_rows
+from quire.llm.token_counts import byte_alphabet
 from quire.session import discard, materialize
 
-SPLIT = r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"
-#: Characters that stay as they are under NFC and that every Unicode version classes alike.
-UNUSUAL = re.compile(r"[^\t\n\r -~¡-įĲ-ɏ–—‘-„…]|<\|")
+#: What the vocabulary's pattern splits, for the characters that are usual here.
+SPLIT = re.compile(r"'s|'t|'re|'ve|'m|'ll|'d|[^\W\d_]+|\d|(?:[^\s\w]|_)+")
+#: All but characters that stay as they are under NFC, that every Unicode version classes alike and that aren't numbers beyond 0-9.
+UNUSUAL = re.compile(r"[^\t\n\r -~¡-±´-¸º»¿-įĲ-ɏ–—‘-„…]|<\|")
 
 
+@cache
 def encoder(vocabulary: str):
-    """Token ids of a text, as little-endian unsigned 32-bit bytes; words go through a memo."""
+    """Token ids of a text, as little-endian unsigned 32-bit bytes.
+
+    No token crosses white space: what stands between goes through a memo, and where it is new its
+    words do, and a new word through the vocabulary's merges. A worker keeps both memos for all of its
+    tasks. A text with unusual characters goes through the library as a whole.
+    """
     os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     library = Tokenizer.from_file(vocabulary)
-
-    def encoded(text: str) -> bytes:
-        ids = array("I", library.encode(text, add_special_tokens=False).ids)
-        return ids.tobytes()
-
-    memo = Memo(encoded, most=200_000)
-    find, seen = regex.compile(SPLIT).findall, memo.__getitem__
+    model = json.load(open(vocabulary, encoding="utf-8"))["model"]
+    ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
+    ids, tail, letters, never = model["vocab"], model["end_of_word_suffix"], byte_alphabet(), len(model["merges"])
+
+    def encoded(word: str) -> bytes:
+        parts = [letters[b] for b in word.encode()]
+        parts[-1] += tail
+        rank = [ranks.get(pair, never) for pair in zip(parts, parts[1:])]
+        while rank and (least := min(rank)) < never:
+            i = rank.index(least)
+            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            del rank[i]
+            if i < len(rank):
+                rank[i] = ranks.get((parts[i], parts[i + 1]), never)
+            if i:
+                rank[i - 1] = ranks.get((parts[i - 1], parts[i]), never)
+        return array("I", [ids[p] for p in parts]).tobytes()
+
+    words = Memo(encoded, most=400_000)
+
+    def of_part(part: str) -> bytes:
+        if part.isalpha():
+            return words[part]
+        if part[:-1].isalpha():
+            return words[part[:-1]] + words[part[-1]]
+        return b"".join(map(words.__getitem__, SPLIT.findall(part)))
+
+    parts = Memo(of_part, most=400_000)
+    seen = parts.__getitem__
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
         if UNUSUAL.search(text):
-            return encoded(text)
-        return b"".join(map(seen, find(text.lower())))
+            return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
+        return b"".join(map(seen, text.lower().split()))
 
     return encode
 

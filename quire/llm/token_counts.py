@@ -65,8 +65,9 @@ def merged_count(symbols: list[str], ranks: dict[tuple[str, str], int]) -> int:
     return left
 
 
+@cache
 def counter(vocabulary: str) -> Callable[[str], int]:
-    """Tokens of a text under a byte-level BPE vocabulary file of the ``tokenizers`` library."""
+    """Tokens of a text under a byte-level BPE vocabulary file of the ``tokenizers`` library. A worker keeps its memo for all of its tasks."""
     from tokenizers import pre_tokenizers
 
     spec = json.load(open(vocabulary, encoding="utf-8"))
@@ -80,7 +81,7 @@ def counter(vocabulary: str) -> Callable[[str], int]:
     def of_word(word: str) -> int:
         return merged_count([letters[b] for b in word.encode()], ranks)
 
-    memo = Memo(of_word)
+    memo = Memo(of_word, most=400_000)
     seen = memo.__getitem__
 
     def plain(text: str) -> int:
