@@ -52,21 +52,23 @@ def encoder(vocabulary: str):
     ranks = {tuple(m.split(" ") if isinstance(m, str) else m): i for i, m in enumerate(model["merges"])}
     ids, tail, letters, never = model["vocab"], model["end_of_word_suffix"], byte_alphabet(), len(model["merges"])
 
+    of = ranks.get
+
     def encoded(word: str) -> bytes:
-        parts = [letters[b] for b in word.encode()]
+        parts = list(word) if word.isascii() else [letters[b] for b in word.encode()]
         parts[-1] += tail
-        rank = [ranks.get(pair, never) for pair in zip(parts, parts[1:])]
+        rank = [of(pair, never) for pair in zip(parts, parts[1:])]
         while rank and (least := min(rank)) < never:
             i = rank.index(least)
-            parts[i : i + 2] = [parts[i] + parts[i + 1]]
+            parts[i] = own = parts[i] + parts.pop(i + 1)
             del rank[i]
             if i < len(rank):
-                rank[i] = ranks.get((parts[i], parts[i + 1]), never)
+                rank[i] = of((own, parts[i + 1]), never)
             if i:
-                rank[i - 1] = ranks.get((parts[i - 1], parts[i]), never)
+                rank[i - 1] = of((parts[i - 1], own), never)
         return array("I", [ids[p] for p in parts]).tobytes()
 
-    words = Memo(encoded, most=400_000)
+    words = Memo(encoded, most=800_000)
 
     def of_part(part: str) -> bytes:
         if part.isalpha():
@@ -75,13 +77,14 @@ def encoder(vocabulary: str):
             return words[part[:-1]] + words[part[-1]]
         return b"".join(map(words.__getitem__, SPLIT.findall(part)))
 
-    parts = Memo(of_part, most=400_000)
+    parts = Memo(of_part, most=800_000)
     seen = parts.__getitem__
 
     def encode(text: str | None) -> bytes:
         if not text:
             return b""
-        if UNUSUAL.search(text):
+        plain = text.isascii() and text.replace("\n", " ").isprintable() and "<|" not in text  # quicker than the pattern
+        if not plain and UNUSUAL.search(text):
             return array("I", library.encode(text, add_special_tokens=False).ids).tobytes()
         return b"".join(map(seen, text.lower().split()))
 
