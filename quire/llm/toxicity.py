@@ -3,7 +3,8 @@
 Features of a text: the set of hashes, into ``2**bits`` places, of its lower-cased words, of
 adjacent pairs, and of pairs with one or two words left out between. Training goes through a
 bounded sample of labelled rows one by one with a rate for each coordinate; L1 keeps all but a few
-weights at zero, so what is broadcast is a short list of (place, weight).
+weights at zero, so what is broadcast is a short list of (place, weight). A logistic curve over the
+sums, fitted on a fifth of the sample that isn't learned from, turns them into probabilities.
 
 Defined results: a null or empty text scores the bias alone; without labels of both classes every
 score is the smoothed share of label 1; repeated rows give repeated results; several labels of one
@@ -20,7 +21,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from quire.llm.common import Memo, map_rows
-from quire.llm.quality import sampled
+from quire.llm.quality import fit_curve, sampled
 
 WORD = re.compile(r"[^\W_]+")
 MIX = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0xD6E8FEB86659FD93], dtype=np.uint64)
@@ -79,7 +80,7 @@ def ftrl(rows, size: int, *, alpha: float = 2.0, beta: float = 1.0, l1: float =
 
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", key: str = "doc_id", text: str = "text",
-    rows: int = 4000, longest: int = 32_768, features: int = 12_000_000, bits: int = 20,
+    rows: int = 4000, longest: int = 32_768, features: int = 24_000_000, bits: int = 20, l1: float = 0.1,
 ) -> ToxicityModel:
     """Learn from ``rows`` labelled texts of each class at most, of up to ``longest`` characters, and from ``features`` of theirs."""
     sample = sampled(labels, label, key, usable, rows)
@@ -101,13 +102,18 @@ def train_toxicity(
     if len({y for _, y in examples}) < 2:
         share = (ones + 1) / (ones + zeros + 2)
         return ToxicityModel(bits, np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(share / (1 - share))))
-    drawn_ones = sum(y for _, y in examples)
-    odds = np.log(drawn_ones / (len(examples) - drawn_ones))
-    w, b = ftrl(examples, 1 << bits, bias=float(odds))
-    at = np.nonzero(w)[0]
+    # One example in five isn't learned from: the scale of the sums and their offset are fitted on these.
+    held, used = examples[4::5], [x for i, x in enumerate(examples) if i % 5 != 4]
+    odds = lambda part: float(np.log((sum(y for _, y in part) + 0.5) / (len(part) - sum(y for _, y in part) + 0.5)))
+    # The noise of a coordinate's sum grows as the root of the examples.
+    w, b = ftrl(used, 1 << bits, bias=odds(used), l1=l1 * (len(used) ** 0.5))
+    scale, offset = 1.0, 0.0
+    if len({y for _, y in held}) == 2:
+        offset, scale = fit_curve(np.array([[w[at].sum() + b] for at, _ in held]), np.array([y for _, y in held], dtype=float), ridge=0.1)
     # The sample holds the classes more evenly than the labels do: back to the labels' own odds.
-    b += float(np.log(max(1, ones) / max(1, zeros)) - odds)
-    return ToxicityModel(bits, at.astype(np.int32), w[at].astype(np.float32), float(b))
+    offset += float(np.log(max(1, ones) / max(1, zeros))) - odds(examples)
+    at = np.nonzero(w)[0]
+    return ToxicityModel(bits, at.astype(np.int32), (scale * w[at]).astype(np.float32), float(scale * b + offset))
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, *, threshold: float = 0.3, key: str = "doc_id", text: str = "text") -> DataFrame:
