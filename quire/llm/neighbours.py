@@ -1,10 +1,11 @@
 """Approximate nearest neighbours: a vantage-point tree a shard, with relaxed pruning.
 
-Nearness is the inner product. With one more coordinate, sqrt(M^2 - |x|^2) for the largest norm M,
-the candidates lie on a sphere and the nearest in Euclid's metric have the largest inner product,
-so the triangle inequality holds and can prune: a search leaves out the far side of a node where
-the query's distance to the boundary is over ``factor`` times its k-th best distance. Factor 1 is
-exact; a smaller one prunes more.
+Nearness is the inner product, |q| |x| cos(q, x). Trees are grown on the distances d between the
+vectors' directions, which no norm changes, with cos = 1 - d^2 / 2, and each node knows the smallest
+and largest norm of its rows. The far side of a node is at least the query's gap to the boundary
+away, so no score there is above |q| max|x| (1 - gap^2 / 2); a search leaves the side out where that
+is below its k-th best score. The gap counts 1 / ``factor`` times: factor 1 is exact, a smaller one
+prunes more. The bound of a node depends on no row outside it, so a long vector elsewhere costs nothing.
 
 Rows are dealt by hash of their id into shards of bounded bytes, queries into blocks; every block
 meets every shard's tree once, by an equi-join on (shard, block). Each pair gives k rows a query at
@@ -29,80 +30,76 @@ from pyspark.sql import functions as F
 LEAF = 128
 #: More candidates than asked for, so that rounding in the tree's products can't cost a place.
 SPARE = 8
+#: Distances of products near 1 are right to about 1e-8.
+ROUNDING = 1e-7
 
 
 class VantageTree:
     """A tree over rows of ``x``, in numpy arrays that travel as one blob."""
 
-    def __init__(self, ids: np.ndarray, x: np.ndarray, reach: float):
+    def __init__(self, ids: np.ndarray, x: np.ndarray):
         order = np.lexsort((ids,))
         ids, x = ids[order], x[order]
         self.x, inverse = np.unique(x, axis=0, return_inverse=True)
         by = np.argsort(inverse.ravel(), kind="stable")  # ids of each distinct vector, in their order
         self.ids = ids[by]
         self.offsets = np.concatenate([[0], np.cumsum(np.bincount(inverse.ravel(), minlength=len(self.x)))])
-        self.reach = reach
-        y = self.lifted()
+        y, norms = directions(self.x)
         self.place, nodes = np.arange(len(y)), []
 
         def build(lo: int, hi: int) -> int:
-            me = len(nodes)
-            nodes.append([lo, hi, -1, -1, -1, 0.0])
+            me, own = len(nodes), self.place[lo:hi]
+            nodes.append([lo, hi, -1, -1, -1, 0.0, norms[own].min(), norms[own].max()])
             if hi - lo > LEAF:
-                own = self.place[lo:hi]
-                vantage = own[(hi - lo) // 2]
-                d = distances(y[own], y[vantage])
                 middle = (hi - lo) // 2
+                vantage = own[middle]
+                d = chords(y[own] @ y[vantage])
                 part = np.argpartition(d, middle)
                 self.place[lo:hi] = own[part]
                 edge = d[part[middle]]
                 left = build(lo, lo + middle)
-                nodes[me][2:] = [left, build(lo + middle, hi), vantage, edge]
+                nodes[me][2:6] = [left, build(lo + middle, hi), vantage, edge]
             return me
 
         if len(y):
             build(0, len(y))
-        self.nodes = np.array(nodes, dtype=np.float64).reshape(-1, 6)
-
-    def lifted(self) -> np.ndarray:
-        x = self.x.astype(np.float64)
-        return np.column_stack([x, np.sqrt(np.maximum(0.0, self.reach**2 - (x * x).sum(1)))])
+        self.nodes = np.array(nodes, dtype=np.float64).reshape(-1, 8)
 
     def blob(self) -> bytes:
         out = io.BytesIO()
-        np.savez(out, x=self.x, ids=self.ids, offsets=self.offsets, place=self.place, nodes=self.nodes, reach=self.reach)
+        np.savez(out, x=self.x, ids=self.ids, offsets=self.offsets, place=self.place, nodes=self.nodes)
         return out.getvalue()
 
     @classmethod
     def of(cls, blob: bytes) -> VantageTree:
         own = cls.__new__(cls)
         with np.load(io.BytesIO(blob)) as f:
-            own.x, own.ids, own.offsets, own.place, own.nodes, own.reach = f["x"], f["ids"], f["offsets"], f["place"], f["nodes"], float(f["reach"])
+            own.x, own.ids, own.offsets, own.place, own.nodes = f["x"], f["ids"], f["offsets"], f["place"], f["nodes"]
         return own
 
     def search(self, queries: np.ndarray, k: int, factor: float) -> tuple[np.ndarray, np.ndarray]:
-        """Places in ``x`` and squared distances of the k nearest found of each query; -1 where there are fewer."""
-        y, q = self.lifted(), np.column_stack([queries.astype(np.float64), np.zeros(len(queries))])
-        qq, yy = (q * q).sum(1), (y * y).sum(1)
-        best, who = np.full((len(q), k), np.inf), np.full((len(q), k), -1)
+        """Places in ``x`` and scores, by |q|, of the k nearest found of each query; -1 where there are fewer."""
+        (y, norms), (q, _) = directions(self.x), directions(queries)
+        best, who = np.full((len(q), k), -np.inf), np.full((len(q), k), -1)
 
         def visit(node: int, at: np.ndarray) -> None:
             lo, hi, left, right, vantage = self.nodes[node, :5].astype(int)
             if left < 0:
                 own = self.place[lo:hi]
-                d = qq[at, None] + yy[own] - 2 * (q[at] @ y[own].T)
+                d = (q[at] @ y[own].T) * norms[own]
                 d, w = np.concatenate([best[at], d], 1), np.concatenate([who[at], np.broadcast_to(own, (len(at), len(own)))], 1)
-                pick = np.argpartition(d, k - 1, axis=1)[:, :k]
+                pick = np.argpartition(-d, k - 1, axis=1)[:, :k]
                 best[at], who[at] = np.take_along_axis(d, pick, 1), np.take_along_axis(w, pick, 1)
                 return
             edge = self.nodes[node, 5]
-            d = np.sqrt(np.maximum(0.0, qq[at] + yy[vantage] - 2 * (q[at] @ y[vantage])))
+            d = chords(q[at] @ y[vantage])
             for near, far, own in ((left, right, d <= edge), (right, left, d > edge)):
                 if own.any():
-                    sub, gap = at[own], np.abs(d[own] - edge)
+                    sub, gap = at[own], np.maximum(0.0, np.abs(d[own] - edge) - ROUNDING)
                     visit(near, sub)
-                    kth = best[sub].max(1)
-                    go = ~np.isfinite(kth) | (gap <= factor * np.sqrt(np.maximum(0.0, np.where(np.isfinite(kth), kth, 0.0))) + 1e-9)
+                    least, most = self.nodes[far, 6:]
+                    cos = 1 - np.minimum(2.0, gap / factor) ** 2 / 2
+                    go = np.where(cos > 0, most, least) * cos >= best[sub].min(1) - ROUNDING * most
                     if go.any():
                         visit(far, sub[go])
 
@@ -130,8 +127,17 @@ class VantageTree:
         return query_ids[at[keep]], ids[keep], score[keep]
 
 
-def distances(y: np.ndarray, v: np.ndarray) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, (y * y).sum(1) + v @ v - 2 * (y @ v)))
+def directions(x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows of length 1, and the lengths they had."""
+    x = x.astype(np.float64)
+    scale = np.abs(x).max(1, initial=0.0)  # so that squares stay in range
+    x /= scale[:, None]
+    norms = np.sqrt((x * x).sum(1))
+    return x / norms[:, None], norms * scale
+
+
+def chords(cosines: np.ndarray) -> np.ndarray:
+    return np.sqrt(np.maximum(0.0, 2 - 2 * cosines))
 
 
 def once(ids: np.ndarray, x: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -146,14 +152,14 @@ def usable(vector: Column) -> Column:
     return F.coalesce(fine & F.exists(vector, lambda v: v != 0), F.lit(False))
 
 
-def steps(dim: int, dtype, reach: float, k: int, factor: float):
+def steps(dim: int, dtype, k: int, factor: float):
     """What runs on a shard, on a block of queries, and on a pair of both."""
 
     def matrix(column):
         return np.concatenate([np.zeros(0, dtype), *[c.flatten().to_numpy(zero_copy_only=False).astype(dtype) for c in column.chunks]]).reshape(-1, dim)
 
     def grow(group: pa.Table) -> pa.Table:
-        tree = VantageTree(*once(group["id"].to_numpy(), matrix(group["v"])), reach)
+        tree = VantageTree(*once(group["id"].to_numpy(), matrix(group["v"])))
         return pa.table({"shard": pa.array([group["part"][0].as_py()], pa.int32()), "tree": pa.array([tree.blob()], pa.binary())})
 
     def gather(group: pa.Table) -> pa.Table:
@@ -181,15 +187,14 @@ def nearest(
     own = vectors.select(F.col(key).cast("long").alias("id"), F.col(vector).alias("v"), F.coalesce(is_query, F.lit(False)).alias("q")).filter(
         F.col("id").isNotNull() & usable(F.col("v"))
     )
-    norm = F.sqrt(F.aggregate("v", F.lit(0.0), lambda a, x: a + x.cast("double") * x.cast("double")))
-    sizes = own.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("nq"), F.max(norm).alias("reach")).collect()
+    sizes = own.groupBy(F.size("v").alias("dim")).agg(F.count("*").alias("n"), F.sum(F.col("q").cast("long")).alias("nq")).collect()
     out_schema = "query_id long, vec_id long, score double"
     spark, found = vectors.sparkSession, None
     for s in sizes:
-        dim, reach = s["dim"], s["reach"] * (1 + 1e-9)
+        dim = s["dim"]
         shards = max(1, -(-s["n"] * dim * 8 // shard_bytes))
         blocks = max(1, -(-s["nq"] // block_rows))
-        grow, gather, meet = steps(dim, np.float32 if kind == "float" else np.float64, reach, k, factor)
+        grow, gather, meet = steps(dim, np.float32 if kind == "float" else np.float64, k, factor)
         part = own.filter(F.size("v") == dim)
         dealt = lambda df, n: df.withColumn("part", F.pmod(F.xxhash64("id"), F.lit(n)).cast("int")).groupBy("part")
         trees = dealt(part.select("id", "v"), shards).applyInArrow(grow, "shard int, tree binary")

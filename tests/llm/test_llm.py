@@ -274,6 +274,29 @@ def test_neighbours(spark):
     assert nearest(odd.filter("false"), F.lit(True)).count() == 0
 
 
+@pytest.mark.parametrize("lengths", ["one long vector", "mixed"])
+def test_neighbours_of_unequal_norms(spark, lengths):
+    from pyspark.sql import functions as F
+
+    from quire.llm.neighbours import nearest
+    from quire.session import table
+
+    rows = table(spark, "/root/testdata/sf0.1", "embeddings").collect()
+    x = np.array([r.embedding for r in rows])
+    rng = np.random.default_rng(0)
+    x *= np.where(np.arange(len(x)) == 1234, 5.0, 1.0)[:, None] if lengths != "mixed" else np.exp(rng.normal(0, 0.5, len(x)))[:, None]
+    vectors = spark.createDataFrame([(r.vec_id, v) for r, v in zip(rows, x.tolist())], "vec_id long, embedding array<double>")
+    exact = {}
+    for i, r in enumerate(rows):
+        if r.vec_id % 20 == 0:
+            scores = x @ x[i]
+            scores[i] = -np.inf
+            exact[r.vec_id] = {rows[j].vec_id for j in np.argsort(-scores)[:20]}
+    for factor, least in ((1.0, 1.0), (0.2, 0.9)):
+        got = nearest(vectors, F.col("vec_id") % 20 == 0, factor=factor).collect()
+        assert sum(r.vec_id in exact[r.query_id] for r in got) / sum(map(len, exact.values())) >= least
+
+
 def test_toxicity(spark):
     from pyspark.sql import functions as F
 
