@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from quire.llm.common import held_out
 from quire.llm.decontaminate import decontaminate
-from quire.llm.line_dedup import without_repeated_lines
+from quire.llm.line_dedup import by_script, without_repeated_lines
 from quire.llm.minhash import distinct_documents
 from quire.llm.packing import pack
 from quire.llm.quality import accepted, train_quality
@@ -26,8 +26,8 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def line_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without later copies of runs of lines; those that were nothing else go."""
-    out = without_repeated_lines(docs)
+    """Documents without later copies of runs of lines, nor of lines in 10 places or more; those that were nothing else go."""
+    out = without_repeated_lines(docs, widely=10, words=by_script)
     return out.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType)) if "n_chars" in docs.columns else out
 
 

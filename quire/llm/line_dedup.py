@@ -3,7 +3,9 @@
 A document is the sequence of its lines that aren't blank, without spaces, tabs and carriage returns
 around them. A line goes where it lies in a run of consecutive lines, of ``min_words`` words or more
 in total, that also starts earlier, by (key, line); runs are judged on the input, copies may overlap,
-and none crosses documents. Words are counted by single spaces.
+and none crosses documents. With ``widely``, a line that is in so many places is a run of its own,
+however short. Words are counted by ``words``: ``by_spaces``, as the SQL of the query does, or
+``by_script``, by any white space, and by characters in scripts and stretches that have none.
 
 Lines that are nowhere else end runs and leave at once. Of all others, a suffix is ranked by its
 first line, then by its first two, four and so on: the ranks of 2h lines are those of the sorted
@@ -22,23 +24,36 @@ is a later copy; an empty table gives no rows; other columns are ignored, or kep
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from quire.llm.common import keyed
 from quire.session import discard, materialize
 
+UNPARTED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
+
 
 def trimmed(line: Column) -> Column:
     return F.btrim(line, F.lit(" \t\r"))
 
 
-def lines_of(rows: DataFrame) -> DataFrame:
+def by_spaces(line: Column) -> Column:
+    return F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1
+
+
+def by_script(line: Column) -> Column:
+    """Words by white space, one more for each 20 characters of a stretch without; in scripts that don't part words, 2 characters are a word."""
+    return F.greatest(F.lit(1), F.regexp_count(line, F.lit(rf"(?U)[{UNPARTED}]{{1,2}}|[^\s{UNPARTED}]{{1,20}}")))
+
+
+def lines_of(rows: DataFrame, words: Callable[[Column], Column] = by_spaces) -> DataFrame:
     """(k, n, id, words): the n-th line that isn't blank."""
     lines = F.filter(F.transform(F.split("text", "\n", -1), trimmed), lambda x: x != "")
     line = F.col("line")
     return rows.select("k", F.posexplode(lines).alias("n", "line")).select(
-        "k", "n", F.unhex(F.md5(line.cast("binary"))).alias("id"), (F.length(line) - F.length(F.replace(line, F.lit(" "), F.lit(""))) + 1).alias("words")
+        "k", "n", F.unhex(F.md5(line.cast("binary"))).alias("id"), words(line).alias("words")
     )
 
 
@@ -48,11 +63,12 @@ def ranked(distinct: DataFrame, names: list[str], rank: str) -> DataFrame:
     return materialize(distinct.repartitionByRange(parts, *names).sortWithinPartitions(*names).withColumn(rank, F.monotonically_increasing_id()), rank)
 
 
-def ranks(rows: DataFrame, longest: int) -> tuple[DataFrame, list[int]]:
-    """(k, n, words, r0, r1, r2, ...) of the lines that occur twice: ranks of the suffix's first 1, 2, 4, ... lines, null where these aren't repeated."""
-    lines = lines_of(rows)
-    shared = ranked(lines.groupBy("id").count().filter("count > 1").select("id"), ["id"], "r0")
-    table = materialize(lines.join(shared, "id").select("k", "n", "words", "r0"), "ranks0")
+def ranks(rows: DataFrame, longest: int, widely: int | None, words: Callable[[Column], Column]) -> tuple[DataFrame, list[int]]:
+    """(k, n, words, wide, r0, r1, r2, ...) of the lines that occur twice: ranks of the suffix's first 1, 2, 4, ... lines, null where these aren't repeated."""
+    lines = lines_of(rows, words)
+    wide = F.lit(False) if widely is None else F.col("count") >= widely
+    shared = ranked(lines.groupBy("id").count().filter("count > 1").select("id", wide.alias("wide")), ["id"], "r0")
+    table = materialize(lines.join(shared, "id").select("k", "n", "words", "wide", "r0"), "ranks0")
     discard(shared)
     heights, h = [1], 1
     while 2 * h <= longest:
@@ -74,18 +90,18 @@ def ranks(rows: DataFrame, longest: int) -> tuple[DataFrame, list[int]]:
 
 
 def windows(table: DataFrame, heights: list[int], min_words: int) -> DataFrame:
-    """(k, n, lines, a, b): the least windows of ``min_words`` words from each line on, with their two ranks."""
+    """(k, n, lines, a, b): the least windows of ``min_words`` words from each line on, and each wide line, with their two ranks."""
     ranks_here = [f"r{i}" for i in range(len(heights))]
     frame = Window.partitionBy("k").orderBy("n").rowsBetween(0, min_words - 1)
     following = F.collect_list(F.struct("n", "words", *ranks_here)).over(frame)
     # What follows without a gap, and its words up to each line.
     near = F.filter(following, lambda x, i: x["n"] == F.col("n") + i)
-    at = table.select("k", "n", near.alias("near")).withColumn("sums", F.transform("near", lambda x, i: F.aggregate(F.slice("near", F.lit(1), i + 1), F.lit(0), lambda s, y: s + y["words"].cast("int"))))
+    at = table.select("k", "n", "wide", near.alias("near")).withColumn("sums", F.transform("near", lambda x, i: F.aggregate(F.slice("near", F.lit(1), i + 1), F.lit(0), lambda s, y: s + y["words"].cast("int"))))
     m = F.lit(min_words)
     before = lambda i: F.when(i > 0, F.get("sums", i - 1)).otherwise(0)
     least = F.filter(
         F.sequence(F.lit(1), F.size("sums")),
-        lambda j: (F.get("sums", j - 1) >= m) & ((before(j - 1) < m) | (F.get("sums", j - 1) - F.get("sums", F.lit(0)) < m)),
+        lambda j: (F.get("sums", j - 1) >= m) & ((before(j - 1) < m) | (F.get("sums", j - 1) - F.get("sums", F.lit(0)) < m)) | (F.col("wide") & (j == 1)),
     )
     each = at.select("k", "n", "near", F.explode(least).alias("lines"))
     first = second = None
@@ -96,9 +112,9 @@ def windows(table: DataFrame, heights: list[int], min_words: int) -> DataFrame:
     return each.select("k", "n", "lines", first.alias("a"), second.alias("b")).filter("a is not null and b is not null")
 
 
-def later_copies(rows: DataFrame, min_words: int) -> DataFrame:
+def later_copies(rows: DataFrame, min_words: int, widely: int | None, words: Callable[[Column], Column]) -> DataFrame:
     """(k, gone): the numbers of the lines that go, in order."""
-    table, heights = ranks(rows, min_words)
+    table, heights = ranks(rows, min_words, widely, words)
     found = materialize(windows(table, heights, min_words), "windows")
     discard(table)
     interval = ["lines", "a", "b"]
@@ -108,9 +124,9 @@ def later_copies(rows: DataFrame, min_words: int) -> DataFrame:
     return later.groupBy("k").agg(F.array_sort(F.array_distinct(numbers)).alias("gone"))
 
 
-def split_lines(rows: DataFrame, min_words: int) -> DataFrame:
+def split_lines(rows: DataFrame, min_words: int, widely: int | None, words: Callable[[Column], Column]) -> DataFrame:
     """``rows`` with ``n_lines``, ``gone`` and ``kept``, the text without the lines that go."""
-    out = rows.join(later_copies(rows, min_words), "k", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
+    out = rows.join(later_copies(rows, min_words, widely, words), "k", "left").withColumn("gone", F.coalesce("gone", F.array().cast("array<int>")))
     lines = F.split("text", "\n", -1)
     filled = F.filter(F.transform(lines, lambda x, i: F.when(trimmed(x) != "", i)), lambda i: i.isNotNull())
     out = out.withColumn("lines", lines).withColumn("filled", filled)
@@ -120,20 +136,20 @@ def split_lines(rows: DataFrame, min_words: int) -> DataFrame:
     return out.withColumn("kept", kept).withColumn("n_lines", F.size("filled").cast("long")).drop("lines", "filled")
 
 
-def dedup_lines(docs: DataFrame, *, min_words: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+def dedup_lines(docs: DataFrame, *, min_words: int = 10, widely: int | None = None, words: Callable[[Column], Column] = by_spaces, key: str = "doc_id", text: str = "text") -> DataFrame:
     """One row a document: key, n_lines, n_removed, n_runs (of consecutive lines that go), kept_sha256, kept."""
-    out = split_lines(keyed(docs, key, text), min_words)
+    out = split_lines(keyed(docs, key, text), min_words, widely, words)
     runs = F.size(F.filter("gone", lambda n, i: (i == 0) | (F.get("gone", i - 1) != n - 1)))
     return out.select(
         F.col("key").alias(key), "n_lines", F.size("gone").cast("long").alias("n_removed"), runs.cast("long").alias("n_runs"), F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"), "kept"
     )
 
 
-def without_repeated_lines(docs: DataFrame, *, min_words: int = 10, key: str = "doc_id", text: str = "text") -> DataFrame:
+def without_repeated_lines(docs: DataFrame, *, min_words: int = 10, widely: int | None = None, words: Callable[[Column], Column] = by_spaces, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns, their texts without later copies of runs of lines."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    out = split_lines(keyed(renamed, names[key], names[text], carry=list(names.values())), min_words).filter((F.size("gone") < F.col("n_lines")) | (F.col("n_lines") == 0))
+    out = split_lines(keyed(renamed, names[key], names[text], carry=list(names.values())), min_words, widely, words).filter((F.size("gone") < F.col("n_lines")) | (F.col("n_lines") == 0))
     of = lambda c, n: F.when(F.size("gone") > 0, F.col("kept")).otherwise(F.col(n)) if c == text else F.col(n)
     return out.select(*[of(c, n).alias(c) for c, n in names.items()])
 

@@ -228,6 +228,20 @@ def test_line_dedup(spark):
     assert dedup_lines(wide.filter("false")).count() == 0
 
 
+def test_line_dedup_of_short_and_unspaced_lines(spark):
+    import corpus_pipeline
+
+    tabs, no_spaces, twice = "\t".join("abcdefghijkl"), "文" * 30, "only twice"
+    own = [["all rights reserved"], [tabs], [no_spaces], [twice]]
+    data = [(k, f"text of its own number {k}\n" + "\n".join(own[0] + (own[1] + own[2] + own[3] if k < 2 else [])), 0) for k in range(12)]
+    got = {r.doc_id: r.text.split("\n")[1:] for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(data, "doc_id long, text string, n_chars long"), SF).collect()}
+    # A line in two places stays where it is short and what is around it doesn't repeat; here it ends a repeated run.
+    assert got == {0: ["all rights reserved", tabs, no_spaces, twice]} | {k: [] for k in range(1, 12)}
+    apart = [(k, f"{k} one\n{twice}\n{k} two\n{no_spaces}\n{k} three\n{tabs}", 0) for k in range(2)]
+    got = {r.doc_id: r.text for r in corpus_pipeline.line_dedup(spark, spark.createDataFrame(apart, "doc_id long, text string, n_chars long"), SF).collect()}
+    assert got == {0: apart[0][1], 1: f"1 one\n{twice}\n1 two\n1 three"}
+
+
 def test_language_model(spark, docs, rows):
     from pyspark.sql import functions as F
 
