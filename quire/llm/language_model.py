@@ -1,14 +1,19 @@
 """Hidden Markov language model with exact sequence likelihoods.
 
 Tokens are the white-space words, A-Z lower-cased, and one end a text. Counts of all training
-tokens are a shuffled table; the most frequent ``lookup`` tokens travel to the executors, all
-others meet their counts in a join. The model's symbols are the ``own_symbols`` most frequent
-tokens and ``classes`` classes of all others by their last two bytes:
+tokens are a shuffled table; the most frequent ``own_symbols`` tokens (``lookup`` at most) travel to
+the executors, all others meet their counts in a join. The model's symbols are these tokens and
+``classes`` classes of all others by their last two bytes:
 
-    P(token | state) = P(symbol | state) * P(token | symbol)
+    P(token | state) = P(symbol | state) * P(token | symbol, state)
 
-with P(token | symbol) = 1 for a token with a symbol of its own, and (c + 1) / (C + V + 1) within a
-class of C occurrences of V distinct tokens. Baum-Welch runs first on a bounded sample, to leave
+The last factor is 1 for a token with a symbol of its own. Each of all others has expected counts n
+by state in a shuffled table, which every pass makes anew and which is joined back to the texts:
+
+    P(token | class, state) = (n + a) / (N + a (V + 1)),  a = N / C
+
+in a class of C occurrences of V distinct tokens, N of them in the state. That is (c + 1) / (C + V + 1)
+where a token's states are those of its class, before the first pass and for unknown tokens. Baum-Welch runs first on a bounded sample, to leave
 the symmetric start, and then ``passes`` times over every training text, in segments of 128
 tokens: each partition's expected counts are summed by symbol with a shuffle. Scores come from the
 scaled forward recursion over each whole text.
@@ -33,6 +38,8 @@ from quire.session import discard, materialize
 
 END = b"\n"
 SEGMENT = 128
+#: Bytes of a symbol.
+WIDTH = 4
 #: Expected counts are summed as integers of this fraction, so that no order of summing shows.
 UNIT = float(1 << 20)
 
@@ -84,12 +91,13 @@ class Vocabulary:
             c[class_of(t, classes)] -= k
             d[class_of(t, classes)] -= 1
         self.class_log = np.log10(c + d + 1)
+        self.class_counts, self.class_sizes = c, d
         self.tokens = [t for t, _ in frequent]
         counts = np.array([k for _, k in frequent], dtype=np.float64)
         self.log_count = np.append(np.log10(counts + 1), 0.0)
         kind = np.array([class_of(t, classes) for t in self.tokens], dtype=np.int64)
         at = np.arange(len(frequent))
-        self.symbol = np.append(np.where(at < self.own, at, self.own + kind), 0).astype(np.uint16)
+        self.symbol = np.append(np.where(at < self.own, at, self.own + kind), 0).astype(np.uint32)
         self.within = np.append(np.where(at < self.own, 0.0, np.log10(counts + 1) - self.class_log[kind]), 0.0)
         self.symbol_counts = np.concatenate([counts[: self.own], c])
 
@@ -161,8 +169,9 @@ class Hmm:
         return first, moves * self.move, at
 
     @classmethod
-    def of_counts(cls, first: np.ndarray, moves: np.ndarray, at: np.ndarray) -> Hmm:
+    def of_counts(cls, first: np.ndarray, moves: np.ndarray, at: np.ndarray, own: int) -> Hmm:
         first, moves, at = first + 0.1, moves + 0.1, at + 0.01
+        at[own:] += at.sum(0) / at.sum()  # a class is there once more, for tokens that training hasn't seen
         return cls(first / first.sum(), moves / moves.sum(1, keepdims=True), at / at.sum(0))
 
 
@@ -170,11 +179,42 @@ def segments(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Lengths of segments of SEGMENT symbols at most, and all symbols in a row."""
     lengths = []
     for b in blobs:
-        whole, rest = divmod(len(b) // 2, SEGMENT)
+        whole, rest = divmod(len(b) // WIDTH, SEGMENT)
         lengths.extend(repeat(SEGMENT, whole))
         if rest:
             lengths.append(rest)
-    return np.array(lengths, dtype=np.int64), np.frombuffer(b"".join(blobs), dtype=np.uint16).astype(np.int64)
+    return np.array(lengths, dtype=np.int64), symbols_of(blobs)
+
+
+def symbols_of(blobs: list[bytes]) -> np.ndarray:
+    return np.frombuffer(b"".join(blobs), dtype=np.uint32).astype(np.int64)
+
+
+class Rare:
+    """The tokens of some texts that have no symbol of their own: how often they occur in training, and their factors by state."""
+
+    def __init__(self, model: Hmm, within: np.ndarray | None, vocabulary: tuple[int, np.ndarray, np.ndarray], flat: np.ndarray, others: pa.Array, found: pa.Array | None):
+        own, c, v = vocabulary
+        self.names: dict[bytes, int] = {}
+        self.place = np.nonzero(flat >= own)[0]
+        self.at = np.array([self.names.setdefault(w, len(self.names)) for w in others.flatten().to_pylist()], dtype=np.int64)
+        self.kind = np.zeros(len(self.names), dtype=np.int64)
+        self.kind[self.at] = flat[self.place]
+        self.count = np.zeros(len(self.names))
+        factor = np.ones((len(self.names), len(model.start)))
+        if found is not None and len(self.names):
+            rows = found.flatten()
+            i = np.array([self.names[t] for t in rows.field("token").to_pylist()], dtype=np.int64)
+            self.count[i] = rows.field("c").to_numpy(zero_copy_only=False)
+            if within is not None and len(i):
+                n = np.column_stack([rows.field(f"s{j}").to_numpy(zero_copy_only=False) for j in range(len(model.start))]) / UNIT
+                k = self.kind[i] - own
+                share = within[k] / np.maximum(c[k], 1)[:, None] + 1e-12
+                factor[i] = (n + share) / (share * (c + v + 1)[k][:, None]) * ((c + v + 1)[k] / (self.count[i] + 1))[:, None]
+        #: Symbols with one more for each of these tokens, and the model that has emissions for them.
+        self.flat = flat
+        self.flat[self.place] = len(model.emit) + self.at
+        self.model = Hmm(model.start, model.move, np.vstack([model.emit, model.emit[self.kind] * factor]))
 
 
 def encoded(docs: DataFrame, held: Column, vocabulary: Vocabulary, key: str, text: str) -> DataFrame:
@@ -213,32 +253,55 @@ def encoded(docs: DataFrame, held: Column, vocabulary: Vocabulary, key: str, tex
     return docs.select(key, held.alias("held_out"), text).mapInArrow(run, fields)
 
 
-def baum_welch_pass(train: DataFrame, model: Hmm, symbols: int) -> Hmm:
-    """One expectation over all training texts, summed across partitions, and the maximisation."""
-    states = len(model.start)
-    shared = train.sparkSession.sparkContext.broadcast(model)
+def with_rare(texts: DataFrame, rare: DataFrame | None, states: int) -> DataFrame:
+    """The texts with ``found``, what ``rare`` says of their tokens in ``others``."""
+    columns = ["token", "c", *[f"s{i}" for i in range(states)]]
+    if rare is None:
+        return texts.withColumn("found", F.lit(None).cast("array<struct<token:binary,c:bigint>>"))
+    asked = texts.select("rid", F.explode(F.array_distinct("others")).alias("token"))
+    found = asked.join(rare.select(*columns), "token").groupBy("rid").agg(F.collect_list(F.struct(*columns)).alias("found"))
+    return texts.join(found, "rid", "left")
+
+
+def baum_welch_pass(train: DataFrame, model: Hmm, vocabulary: Vocabulary, rare: DataFrame | None, within: np.ndarray | None) -> tuple[Hmm, DataFrame, np.ndarray]:
+    """One expectation over all training texts, summed across partitions, and the maximisation: the model, the counts of rare tokens, those of classes."""
+    states, symbols = len(model.start), vocabulary.symbols
+    shared = train.sparkSession.sparkContext.broadcast((model, within, (vocabulary.own, vocabulary.class_counts, vocabulary.class_sizes)))
     columns = [f"s{i}" for i in range(states)]
+    joined = rare is not None
+
+    def rows(numbers, names, counts, table):
+        table = np.rint(table * UNIT).astype(np.int64)
+        return pa.RecordBatch.from_arrays([pa.array(numbers, pa.int32()), pa.array(names, pa.binary()), pa.array(counts, pa.int64()), *[pa.array(table[:, i], pa.int64()) for i in range(states)]], names=["row", "token", "c", *columns])
 
     def run(batches):
-        own, sums = shared.value, None
+        (own, within, known), sums = shared.value, None
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
-                lengths, flat = segments(batch.column(0).slice(at, 1024).to_pylist())
-                found = own.expected(lengths, flat)
+                part = batch.slice(at, 1024)
+                lengths, flat = segments(part.column(0).to_pylist())
+                local = Rare(own, within, known, flat, part.column(1), part.column(2) if joined else None)
+                first, moves, seen = local.model.expected(lengths, local.flat)
+                if local.names:
+                    yield rows(np.full(len(local.names), -1), list(local.names), np.bincount(local.at), seen[symbols:])
+                    np.add.at(seen, local.kind, seen[symbols:])
+                found = (first, moves, seen[:symbols])
                 sums = found if sums is None else tuple(a + b for a, b in zip(sums, found))
         if sums is not None:
-            table = np.rint(np.vstack([sums[2], sums[1], sums[0][None]]) * UNIT).astype(np.int64)
-            rows = np.nonzero(table.any(1))[0]
-            yield pa.RecordBatch.from_arrays([pa.array(rows, pa.int32()), *[pa.array(table[rows, i], pa.int64()) for i in range(states)]], names=["row", *columns])
+            table = np.vstack([sums[2], sums[1], sums[0][None]])
+            some = np.nonzero(np.rint(table * UNIT).any(1))[0]
+            yield rows(some, [None] * len(some), np.zeros(len(some), dtype=np.int64), table[some])
 
-    sums = train.select("symbols").mapInArrow(run, "row int, " + ", ".join(f"{c} long" for c in columns)).groupBy("row").agg(*[F.sum(c).alias(c) for c in columns]).toArrow()
+    each = with_rare(train, rare, states).select("symbols", "others", "found").mapInArrow(run, "row int, token binary, c long, " + ", ".join(f"{c} long" for c in columns))
+    expected = materialize(each.groupBy("row", "token").agg(*[F.sum(c).alias(c) for c in ("c", *columns)]), "expected")
+    sums = expected.filter("row >= 0").select("row", *columns).toArrow()
     table = np.zeros((symbols + states + 1, states))
     table[np.array(sums["row"])] = np.column_stack([np.array(sums[c], dtype=np.float64) for c in columns]) / UNIT if sums.num_rows else 0
-    return Hmm.of_counts(table[-1], table[symbols : symbols + states], table[:symbols])
+    return Hmm.of_counts(table[-1], table[symbols : symbols + states], table[:symbols], vocabulary.own), expected.filter("row < 0"), table[vocabulary.own : symbols]
 
 
 def score_texts(
-    docs: DataFrame, held: Column, *, states: int = 4, passes: int = 2, lookup: int = 262_144, own_symbols: int = 32_768, classes: int = 256,
+    docs: DataFrame, held: Column, *, states: int = 4, passes: int = 2, lookup: int = 262_144, own_symbols: int = 262_144, classes: int = 256,
     sample_rows: int = 1000, sample_tokens: int = 400_000, sample_passes: int = 20, key: str = "doc_id", text: str = "text",
 ) -> DataFrame:
     """One row a document: key, held_out, n_tokens, n_known, train_tokens, base_score, score. Rows where ``held`` aren't learned from."""
@@ -246,7 +309,7 @@ def score_texts(
     bucket = F.floor(F.log2("c") * 16).cast("int")
     by = counts.groupBy(bucket.alias("b")).agg(F.count("*").alias("v"), F.sum("c").alias("n")).collect()  # 16 buckets a doubling
     n, v = sum(r["n"] for r in by), sum(r["v"] for r in by)
-    cut, room = 1 << 30, lookup
+    cut, room = 1 << 30, min(lookup, own_symbols)
     for r in sorted(by, key=lambda r: -r["b"]):
         if (room := room - r["v"]) < 0:
             break
@@ -259,41 +322,47 @@ def score_texts(
     train = texts.filter(~F.col("held_out"))
     model = Hmm.blank(states, vocabulary.symbol_counts)
     drawn, size = [], 0
-    for r in train.filter(F.length("symbols") <= 8 * SEGMENT * 2).select("symbols", F.xxhash64("rid").alias("h")).orderBy("h").limit(sample_rows).collect():
-        if (size := size + len(r["symbols"]) // 2) <= sample_tokens:
+    for r in train.filter(F.length("symbols") <= 8 * SEGMENT * WIDTH).select("symbols", F.xxhash64("rid").alias("h")).orderBy("h").limit(sample_rows).collect():
+        if (size := size + len(r["symbols"]) // WIDTH) <= sample_tokens:
             drawn.append(bytes(r["symbols"]))
     if drawn:
         lengths, flat = segments(drawn)
         for _ in range(sample_passes):
             first, moves, at = model.expected(lengths, flat)
             # What the sample hasn't seen keeps the shape of the whole corpus.
-            model = Hmm.of_counts(first, moves, at + 0.1 * vocabulary.symbol_counts[:, None] / max(1.0, vocabulary.symbol_counts.sum()) * at.sum(0))
+            model = Hmm.of_counts(first, moves, at + 0.1 * vocabulary.symbol_counts[:, None] / max(1.0, vocabulary.symbol_counts.sum()) * at.sum(0), vocabulary.own)
+    # Counts of the tokens without a symbol of their own; their factors are 1 until a pass has seen them.
+    rare = within = None
     for _ in range(passes if n else 0):
-        model = baum_welch_pass(train, model, vocabulary.symbols)
-
-    # The tokens that only the counts table knows, and their sums a text.
-    rare = counts.filter(bucket < cut).select("token", F.log10(F.col("c") + 1).alias("l"))
-    asked = texts.select("rid", F.explode("others").alias("token"))
-    sums = asked.join(rare, "token").groupBy("rid").agg(F.sum("l").alias("rare_logs"), F.count("*").alias("rare_known"))
+        model, rare, within = baum_welch_pass(train, model, vocabulary, rare, within)
+    if rare is None:
+        rare = counts.filter(bucket < cut).select("token", "c", *[F.lit(0).cast("long").alias(f"s{i}") for i in range(states)])
 
-    shared = docs.sparkSession.sparkContext.broadcast(model)
+    shared = docs.sparkSession.sparkContext.broadcast((model, within, (vocabulary.own, vocabulary.class_counts, vocabulary.class_sizes)))
 
     def run(batches):
-        own = shared.value
+        own, within, known = shared.value
         for batch in batches:
             blobs = batch.column(1).to_pylist()
-            found = own.log_likelihood(np.array([len(b) // 2 for b in blobs], dtype=np.int64), np.frombuffer(b"".join(blobs), dtype=np.uint16).astype(np.int64)) / np.log(10) if blobs else np.zeros(0)
-            yield pa.RecordBatch.from_arrays([batch.column(0), *[batch.column(i) for i in range(2, batch.num_columns)], pa.array(found, pa.float64())], names=["rid", key, "held_out", "n_tokens", "known", "log_counts", "within", "likelihood"])
+            lengths = np.array([len(b) // WIDTH for b in blobs], dtype=np.int64)
+            local = Rare(own, within, known, symbols_of(blobs), batch.column(2), batch.column(3))
+            found = local.model.log_likelihood(lengths, local.flat) / np.log(10) if blobs else np.zeros(0)
+            text = np.repeat(np.arange(len(blobs)), [len(o) for o in batch.column(2)])
+            counts = local.count[local.at]
+            logs, seen = (np.bincount(text, weights=w, minlength=len(blobs)) for w in (np.log10(counts + 1), (counts > 0).astype(float)))
+            yield pa.RecordBatch.from_arrays(
+                [*[batch.column(i) for i in range(4, batch.num_columns)], pa.array(found, pa.float64()), pa.array(logs, pa.float64()), pa.array(seen.astype(np.int64), pa.int64())],
+                names=[key, "held_out", "n_tokens", "known", "log_counts", "within", "likelihood", "rare_logs", "rare_known"],
+            )
 
     kind = docs.schema[key].dataType.simpleString()
-    scored = texts.select("rid", "symbols", key, "held_out", "n_tokens", "known", "log_counts", "within").mapInArrow(
-        run, f"rid long, `{key}` {kind}, held_out boolean, n_tokens long, known long, log_counts double, within double, likelihood double"
+    scored = with_rare(texts, rare, states).select("rid", "symbols", "others", "found", key, "held_out", "n_tokens", "known", "log_counts", "within").mapInArrow(
+        run, f"`{key}` {kind}, held_out boolean, n_tokens long, known long, log_counts double, within double, likelihood double, rare_logs double, rare_known long"
     )
-    rare_logs = F.coalesce("rare_logs", F.lit(0.0))
-    return scored.join(sums, "rid", "left").select(
-        key, "held_out", "n_tokens", (F.col("known") + F.coalesce("rare_known", F.lit(0))).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
-        (F.col("log_counts") + rare_logs - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
-        (F.col("likelihood") + F.col("within") + rare_logs).alias("score"),
+    return scored.select(
+        key, "held_out", "n_tokens", (F.col("known") + F.col("rare_known")).alias("n_known"), F.lit(n).cast("long").alias("train_tokens"),
+        (F.col("log_counts") + F.col("rare_logs") - F.col("n_tokens") * F.lit(float(np.log10(n + v + 1)))).alias("base_score"),
+        (F.col("likelihood") + F.col("within") + F.col("rare_logs")).alias("score"),
     )
 
 

@@ -268,6 +268,28 @@ def test_language_model(spark, docs, rows):
     assert score_texts(empty(docs), F.lit(False)).count() == 0
 
 
+def test_language_model_tells_rare_tokens_of_a_class_apart(spark):
+    from pyspark.sql import functions as F
+
+    from quire.llm.language_model import score_texts
+
+    # Two kinds of texts; the rare words of both end alike, so that one class has them all.
+    kinds = [("sun moon star sky", "aa"), ("iron coal salt tin", "bb")]
+    r = random.Random(3)
+    data = []
+    for k in range(120):
+        words, mark = kinds[k % 2]
+        data.append((k, " ".join(f"{mark}{r.randrange(30)}xx" if r.random() < 0.2 else r.choice(words.split()) for _ in range(60))))
+    data += [(1000, "sun moon aa1xx star"), (1001, "sun moon bb1xx star"), (1002, "iron coal bb1xx tin"), (1003, "iron coal aa1xx tin")]
+    docs = spark.createDataFrame(data, "doc_id long, text string")
+    by = {}
+    for own in (12, 262_144):
+        got = score_texts(docs, F.col("doc_id") >= 1000, own_symbols=own, classes=4, states=2, passes=4)
+        by[own] = {x.doc_id: x.score - x.base_score for x in got.collect()}
+    for scores in by.values():
+        assert scores[1000] > scores[1001] + 0.5 and scores[1002] > scores[1003] + 0.5
+
+
 def test_neighbours(spark):
     from pyspark.sql import functions as F
 
