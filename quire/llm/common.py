@@ -64,6 +64,18 @@ def chunks(items, n: int) -> Iterator[list]:
         yield part
 
 
+def joined_spread(rows: DataFrame, unique: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+    """``rows`` joined to ``unique``, which has one row a key, where a key may hold any share of ``rows``.
+
+    A key's rows are dealt by ``by`` over as many tasks as a shuffle has; ``unique`` meets the distinct
+    (key, deal) pairs first, so no task of either join gets more than its share of a key.
+    """
+    ways = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = rows.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
+    known = dealt.select(key, "_way").distinct().join(unique, key)
+    return dealt.join(known, [key, "_way"], how).drop("_way")
+
+
 def keyed(docs: DataFrame, key: str, text: str, carry: list[str] | None = None) -> DataFrame:
     """(k, key, text, carried columns) with a unique long ``k`` in the documents' order: the key itself, if it can be.
 

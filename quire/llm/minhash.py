@@ -38,13 +38,13 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo
+from quire.llm.common import Memo, joined_spread
 from quire.session import discard, materialize
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 MIX = np.array([0x9E3779B97F4A7C15, 0xBF58476D1CE4E5B9, 0x94D049BB133111EB], dtype=np.uint64)
-#: Words whose texts' signatures are drawn together, and processes that run together.
-TOGETHER, PROCESSES = 400_000, 1 << 19
+#: Words whose texts' signatures are drawn together, points that are drawn together, and shingles of hubs that a worker keeps.
+TOGETHER, POINTS, KEPT = 400_000, 1 << 17, 1 << 20
 HOLDS_POINT = np.uint64(1 << 63)
 
 
@@ -61,7 +61,7 @@ class Shingler:
         import xxhash
 
         self.shingle = shingle
-        self.memo = Memo(xxhash.xxh64_intdigest, most=200_000)
+        self.memo = Memo(xxhash.xxh64_intdigest, most=100_000)
 
     def __call__(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         return self.many([words])[0]
@@ -116,8 +116,11 @@ def points(process: list[np.ndarray], horizon: np.ndarray, bags: int, registers:
     """The hash of each register's first point before the horizon, 0 where there is none."""
     first = np.full(bags * registers, np.inf)
     who = np.zeros(bags * registers, dtype=np.uint64)
-    for at in range(0, len(process[0]), PROCESSES):
-        seed, length, offset, count, owner = (x[at : at + PROCESSES] for x in process)
+    # Matrices hold the points of some processes; a process has about its rate times the horizon of these.
+    points = np.cumsum(np.maximum(1.0, process[1] * horizon[process[-1]]))
+    cuts = np.flatnonzero(np.diff((points / POINTS).astype(np.int64))) + 1
+    for begin, end in zip([0, *cuts.tolist()], [*cuts.tolist(), len(points)]):
+        seed, length, offset, count, owner = (x[begin:end] for x in process)
         time, until, drawn, step = np.zeros(len(seed)), horizon[owner], 0, 1
         while len(seed):
             n = np.arange(drawn, drawn + step, dtype=np.uint64)
@@ -155,15 +158,15 @@ def overlap(a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray])
 
 
 def signed(docs: DataFrame, key: str, text: str, *, shingle: int, bands: int, rows: int, carry: list[str]) -> DataFrame:
-    """A row each: rid, key, node (a digest of its words, null without any), and of texts new to their task bands and text."""
-    kind = docs.schema[key].dataType.simpleString()
+    """A row each: rid, key, node (a digest of its words, null without any), and of texts new to their task bands and, unless it is carried, text."""
+    kind, carried = docs.schema[key].dataType.simpleString(), text in carry
     fields = "".join(f", `{c}` {docs.schema[c].dataType.simpleString()}" for c in carry)
 
     def run(batches):
         from pyspark import TaskContext
 
         shingler = Shingler(shingle)
-        fresh = Memo(lambda k: True, most=200_000)
+        fresh = Memo(lambda k: True, most=100_000)
         rid = TaskContext.get().partitionId() << 36
         for batch in batches:
             texts, at = batch.column(1), 0
@@ -182,7 +185,7 @@ def signed(docs: DataFrame, key: str, text: str, *, shingle: int, bands: int, ro
                 banded, own = [None] * len(nodes), [None] * len(nodes)
                 if bags:
                     for i, b in zip(new, band_hashes(signatures(shingler.many(bags), bands * rows), bands).view(np.int64)):
-                        banded[i], own[i] = b, texts[begin + i].as_py()
+                        banded[i], own[i] = b, None if carried else texts[begin + i].as_py()
                 part = batch.slice(begin, len(nodes))
                 yield pa.RecordBatch.from_arrays(
                     [pa.array(range(rid, rid + len(nodes)), pa.int64()), part.column(0), pa.array(nodes, pa.binary()), pa.array(banded, pa.list_(pa.int64())), pa.array(own, pa.string()), *part.columns[2:]],
@@ -194,24 +197,26 @@ def signed(docs: DataFrame, key: str, text: str, *, shingle: int, bands: int, ro
 
 
 def compared(pairs: DataFrame, texts: DataFrame, shingle: int) -> DataFrame:
-    """(a, b, far) of pairs of nodes: 1 - the similarity of their texts."""
-    left = texts.select(F.col("node").alias("a"), F.col("own").alias("text_a"))
-    right = texts.select(F.col("node").alias("b"), F.col("own").alias("text_b"))
+    """(node, hub, far) of pairs of nodes: 1 - the similarity of their texts."""
+    members = texts.select("node", F.col("own").alias("text"))
+    hubs = texts.select(F.col("node").alias("hub"), F.col("own").alias("hub_text"))
 
     def run(batches):
         shingler = Shingler(shingle)
-        last: dict[bytes, tuple] = {}  # a hub's pairs come one after the other
+        known, size = {}, 0
         for batch in batches:
-            a, b = batch.column(0).to_pylist(), batch.column(1).to_pylist()
             far = []
-            for i, node in enumerate(a):
-                if node not in last:
-                    last = {node: shingler(words_of(batch.column(2)[i].as_py()))}
-                far.append(1 - overlap(last[node], shingler(words_of(batch.column(3)[i].as_py()))))
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64())], names=["a", "b", "far"])
+            for i, hub in enumerate(batch.column(1).to_pylist()):
+                if hub not in known:
+                    if size > KEPT:
+                        known, size = {}, 0
+                    known[hub] = shingler(words_of(batch.column(3)[i].as_py()))
+                    size += len(known[hub][0])
+                far.append(1 - overlap(known[hub], shingler(words_of(batch.column(2)[i].as_py()))))
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(far, pa.float64())], names=["node", "hub", "far"])
 
-    # The hub is joined last: its pairs are many, and a skewed join is split.
-    return pairs.join(right, "b").join(left, "a").select("a", "b", "text_a", "text_b").mapInArrow(run, "a binary, b binary, far double")
+    met = joined_spread(pairs.join(members, "node"), hubs, "hub", "node").select("node", "hub", "text", "hub_text")
+    return met.mapInArrow(run, "node binary, hub binary, far double")
 
 
 def elements(nodes: DataFrame, shingle: int) -> DataFrame:
@@ -230,9 +235,9 @@ def elements(nodes: DataFrame, shingle: int) -> DataFrame:
     return nodes.select("node", "own").mapInArrow(run, "node binary, elements array<long>")
 
 
-def forest(nodes: list[bytes], roots: list[bytes], sets: list[np.ndarray], most: float) -> list[tuple[bytes, bytes]]:
-    """Links that join all members of different classes which are close."""
-    n = len(nodes)
+def forest(roots: list[bytes], sets: list[np.ndarray], most: float) -> list[tuple[bytes, bytes]]:
+    """Links between classes, which join all that have close members."""
+    n = len(roots)
     sizes = np.array([len(x) for x in sets], dtype=np.float32)
     every, at = np.unique(np.concatenate(sets), return_inverse=True)
     often = np.bincount(at) > 1
@@ -260,13 +265,13 @@ def forest(nodes: list[bytes], roots: list[bytes], sets: list[np.ndarray], most:
         a, b = top(roots[i]), top(roots[j])
         if a != b:
             up[max(a, b)] = min(a, b)
-            out.append((min(nodes[i], nodes[j]), max(nodes[i], nodes[j])))
+            out.append((min(a, b), max(a, b)))
     return out
 
 
 def met_in_blocks(state: DataFrame, texts: DataFrame, *, shingle: int, most: float, block: int) -> DataFrame:
-    """(a, b): what is close in the buckets of ``state`` (bucket, node, root), as far as it joins classes."""
-    sized = state.join(state.groupBy("bucket").agg(F.ceil(F.count("*") / block).cast("int").alias("blocks")), "bucket").withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
+    """(a, b): the classes with close members in the buckets of ``state`` (bucket, node, root, members), as far as it joins them."""
+    sized = state.withColumn("blocks", F.ceil(F.col("members") / block).cast("int")).withColumn("own", F.pmod(F.hash("node"), F.col("blocks")))
     # Members of a bucket of several blocks meet every other block of it.
     placed = sized.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).select(
         "bucket", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j"), "node", "root"
@@ -286,40 +291,46 @@ def met_in_blocks(state: DataFrame, texts: DataFrame, *, shingle: int, most: flo
 
         for batch in batches:
             keys = list(zip(*(batch.column(c).to_pylist() for c in range(3))))
-            nodes, roots, lists = batch.column(3).to_pylist(), batch.column(4).to_pylist(), batch.column(5)
+            roots, lists = batch.column(3).to_pylist(), batch.column(4)
             for n, key in enumerate(keys):
                 if key != open_key:
                     yield from close()
                     held, open_key = [], key
-                held.append((nodes[n], roots[n], lists[n].values.to_numpy(zero_copy_only=False)))
+                held.append((roots[n], lists[n].values.to_numpy(zero_copy_only=False)))
         yield from close()
 
-    return full.select("bucket", "i", "j", "node", "root", "elements").mapInArrow(run, "a binary, b binary")
+    return full.select("bucket", "i", "j", "root", "elements").mapInArrow(run, "a binary, b binary")
 
 
-def links_of(buckets: DataFrame, texts: DataFrame, *, shingle: int, most: float, block: int) -> DataFrame:
-    """(a, b): links between nodes, enough of them that classes are whole. ``buckets``: (bucket, node)."""
-    sized = buckets.join(buckets.groupBy("bucket").agg((F.count("*") - 1).alias("others")), "bucket")
+def roots_of(buckets: DataFrame, texts: DataFrame, *, shingle: int, most: float, block: int) -> DataFrame:
+    """(node, root) of the nodes that are close to another, directly or through others. ``buckets``: (bucket, node)."""
+    sized = joined_spread(buckets, buckets.groupBy("bucket").agg((F.count("*") - 1).alias("others")), "bucket", "node")
     shared = sized.groupBy("node").agg(F.sum("others").alias("shared"))
     hubs = buckets.join(shared, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("shared")).alias("order"), "node")).alias("hub")).select("bucket", F.col("hub.node").alias("hub"))
-    met = buckets.join(hubs, "bucket").filter("node != hub").select("bucket", "node", "hub", F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
-    met = materialize(met, "met")
-    found = materialize(compared(met.select("a", "b").distinct(), texts, shingle), "pairs")
-    links = found.filter(F.col("far") <= most).select("a", "b")
+    met = materialize(joined_spread(buckets, hubs, "bucket", "node").filter("node != hub").select("bucket", "node", "hub"), "met")
+    found = materialize(compared(met.select("node", "hub").distinct(), texts, shingle), "pairs")
+    links = found.filter(F.col("far") <= most).select(F.least("node", "hub").alias("a"), F.greatest("node", "hub").alias("b"))
     roots = components(links)
     of_node, of_hub = roots.withColumnRenamed("root", "r"), roots.select(F.col("node").alias("hub"), F.col("root").alias("h"))
-    seen = met.join(found, ["a", "b"]).join(of_node, "node", "left").join(of_hub, "hub", "left").select(
+    seen = joined_spread(met.join(found, ["node", "hub"]).join(of_node, "node", "left"), of_hub, "hub", "node", "left").select(
         "bucket", "node", "far", F.coalesce("r", "node").alias("root"), (F.coalesce("r", "node") != F.coalesce("h", "hub")).alias("apart")
     )
     seen = materialize(seen, "seen")
     # The hub has met everyone and leaves; so do members of its class that can't be close to one of another.
     bounds = seen.filter("apart").groupBy("bucket").agg(F.min("far").alias("nearest"))
-    staying = materialize(seen.join(bounds, "bucket").filter(F.col("apart") | (F.col("far") >= F.col("nearest") - most - 1e-9)).select("bucket", "node", "root"), "staying")
-    several = staying.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most")).filter("least != most").select("bucket")
-    more = materialize(met_in_blocks(staying.join(several, "bucket", "left_semi"), texts, shingle=shingle, most=most, block=block), "more")
-    for old in (met, seen, staying):
+    near = joined_spread(seen, bounds, "bucket", "node").filter(F.col("apart") | (F.col("far") >= F.col("nearest") - most - 1e-9))
+    staying = materialize(near.select("bucket", "node", "root"), "staying")
+    several = staying.groupBy("bucket").agg(F.min("root").alias("least"), F.max("root").alias("most"), F.count("*").alias("members")).filter("least != most").select("bucket", "members")
+    apart = materialize(joined_spread(staying, several, "bucket", "node"), "apart")
+    more = materialize(met_in_blocks(apart, texts, shingle=shingle, most=most, block=block), "more")
+    for old in (met, seen, staying, apart):
         discard(old)
-    return links.unionByName(more)
+    if not more.limit(1).count():
+        return roots
+    tops = components(more)
+    of_root = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
+    known = joined_spread(roots, of_root, "root", "node", "left").select("node", F.coalesce("top", "root").alias("root"))
+    return known.unionByName(tops.join(roots.select("node"), "node", "left_anti"))
 
 
 def components(links: DataFrame) -> DataFrame:
@@ -328,24 +339,21 @@ def components(links: DataFrame) -> DataFrame:
     both = materialize(both, "links")
     labels = materialize(both.groupBy(F.col("u").alias("node")).agg(F.min("v").alias("v")).select("node", F.least("node", "v").alias("root")), "labels")
     while True:
-        near = both.join(labels, both.u == labels.node).groupBy(F.col("v").alias("node")).agg(F.min("root").alias("near"))
+        near = joined_spread(both, labels.select(F.col("node").alias("u"), "root"), "u", "v").groupBy(F.col("v").alias("node")).agg(F.min("root").alias("near"))
         step = labels.join(near, "node").select("node", F.least("root", "near").alias("root"), F.col("root").alias("was"))
         up = labels.select(F.col("node").alias("root"), F.col("root").alias("up"))
-        jumped = materialize(step.join(up, "root").select("node", F.least("root", "up").alias("root"), "was"), "labels")
+        jumped = materialize(joined_spread(step, up, "root", "node").select("node", F.least("root", "up").alias("root"), "was"), "labels")
         changed = jumped.filter("root != was").limit(1).count()
         discard(labels)
         labels = jumped
         if not changed:
             discard(both)
-            return labels.select("node", "root")
+            return labels
 
 
-def classed(
-    docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, block: int = 512,
-    key: str = "doc_id", text: str = "text", carry: list[str] | None = None,
-) -> DataFrame:
-    """key, class_id, kept and ``carry`` of every row."""
-    table = materialize(signed(docs, key, text, shingle=shingle, bands=bands, rows=rows, carry=carry or []), "signed")
+def classed(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands: int = 32, rows: int = 5, block: int = 512, key: str, text: str, carry: list[str]) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Three tables: every row's rid, key, node and ``carry``; each node's class (key, rid of the row that is kept); the rid of each class's kept row."""
+    table = materialize(signed(docs, key, text, shingle=shingle, bands=bands, rows=rows, carry=carry), "signed")
     least = F.min(F.struct(F.col("key").isNull().alias("n"), "key", "rid")).alias("least")
     nodes = materialize(
         table.filter("node is not null").groupBy("node").agg(least, F.min(F.when(F.col("bands").isNotNull(), F.col("rid"))).alias("rid")), "nodes"
@@ -353,34 +361,29 @@ def classed(
     sole = table.filter("bands is not null").join(nodes.select("node", "rid"), ["node", "rid"], "left_semi")
     placed = sole.select("node", F.explode("bands").alias("bucket"))
     shared = placed.groupBy("bucket").count().filter("count > 1").select("bucket")
-    buckets = materialize(placed.join(shared, "bucket").select("bucket", "node"), "buckets")
-    involved = buckets.select("node").distinct()
-    texts = materialize(sole.select("node", "own").join(involved, "node", "left_semi"), "texts")
-    links = links_of(buckets, texts, shingle=shingle, most=1 - similarity + 1e-9, block=block)
+    buckets = materialize(joined_spread(placed, shared, "bucket", "node").select("bucket", "node"), "buckets")
+    texts = materialize(sole.select("node", F.col(text if text in carry else "own").alias("own")).join(buckets.select("node").distinct(), "node", "left_semi"), "texts")
+    roots = roots_of(buckets, texts, shingle=shingle, most=1 - similarity + 1e-9, block=block)
     discard(buckets)
-    roots = components(links)
     discard(texts)
-    of_node = nodes.select("node", "least").join(roots, "node", "left").withColumn("root", F.coalesce("root", "node"))
+    of_node = nodes.select("node", "least").join(roots.select("node", "root"), "node", "left").withColumn("root", F.coalesce("root", "node"))
     of_root = of_node.groupBy("root").agg(F.min("least").alias("class"))
-    joined = of_node.filter(F.col("root") != F.col("node")).select("node", "root").join(of_root, "root")  # all others are their own root
-    own = nodes.select("node", "least").join(joined.select("node", "class"), "node", "left").join(
-        of_root.select(F.col("root").alias("node"), F.col("class").alias("own_class")), "node", "left"
-    ).select("node", F.coalesce("class", "own_class").alias("class"))
-    out = table.drop("bands", "own").join(materialize(own, "classes"), "node", "left")
-    return out.select(
-        "key", F.when(F.col("node").isNull(), F.col("key")).otherwise(F.col("class.key")).alias("class_id"),
-        (F.col("node").isNull() | (F.col("rid") == F.col("class.rid"))).alias("kept"), *(carry or []),
-    )
+    own = materialize(joined_spread(of_node.select("node", "root"), of_root, "root", "node").select("node", "class"), "classes")
+    return table, own, own.select(F.col("class.rid").alias("rid")).distinct()
 
 
-def near_duplicates(docs: DataFrame, *, key: str = "doc_id", **options) -> DataFrame:
+def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row a document: key, class_id and whether it is the one of its class that is kept."""
-    return classed(docs, key=key, **options).withColumnRenamed("key", key)
+    table, classes, _ = classed(docs.select(F.col(key).alias("c0"), F.col(text).alias("c1")), key="c0", text="c1", carry=[], **options)
+    out = joined_spread(table.select("rid", "key", "node"), classes, "node", "rid", "left")
+    alone = F.col("node").isNull()
+    return out.select(F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("class.key")).alias("class_id"), (alone | (F.col("rid") == F.col("class.rid"))).alias("kept"))
 
 
 def distinct_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
     names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
     renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    out = classed(renamed, key=names[key], text=names[text], carry=list(names.values()), **options).filter("kept")
-    return out.select(*[F.col(n).alias(c) for c, n in names.items()])
+    table, _, kept = classed(renamed, key=names[key], text=names[text], carry=list(names.values()), **options)
+    rows = table.filter("node is null").unionByName(table.join(kept, "rid", "left_semi"))
+    return rows.select(*[F.col(n).alias(c) for c, n in names.items()])
