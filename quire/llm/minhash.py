@@ -327,7 +327,7 @@ def roots_of(buckets: DataFrame, texts: DataFrame, *, shingle: int, most: float,
         discard(old)
     if not more.limit(1).count():
         return roots
-    tops = components(more)
+    tops = components(more).select("node", "root")
     of_root = tops.select(F.col("node").alias("root"), F.col("root").alias("top"))
     known = joined_spread(roots, of_root, "root", "node", "left").select("node", F.coalesce("top", "root").alias("root"))
     return known.unionByName(tops.join(roots.select("node"), "node", "left_anti"))

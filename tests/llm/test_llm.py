@@ -84,11 +84,27 @@ def test_near_duplicates_are_those_of_all_pairs(spark):
             if both / (sum(bags[i].values()) + sum(bags[j].values()) - both) >= 0.8:
                 a, b = top(i), top(j)
                 up[max(a, b)] = min(a, b)
-    for block in (512, 8):
-        got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), block=block).collect()}
+    # Bands of one register put texts into buckets whose hubs don't decide, so that blocks have to.
+    for options in ({}, {"block": 8, "bands": 40, "rows": 1}):
+        got = {x.doc_id: x.class_id for x in near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string"), **options).collect()}
         assert got == {i: top(i) for i in range(len(texts))}
 
 
+def test_near_duplicates_that_only_blocks_find(spark, monkeypatch):
+    from quire.llm import minhash
+
+    base = prose(100, 80).split()
+    texts = []
+    for family in range(4):
+        own = [w if i % 4 else f"f{family}" for i, w in enumerate(base)]
+        texts += [" ".join(own[:77] + [f"x{n}"] + own[78:]) for n in range(3)]
+    seen, blocks = [], minhash.met_in_blocks
+    monkeypatch.setattr(minhash, "met_in_blocks", lambda state, *a, **k: seen.append(state.count()) or blocks(state, *a, **k))
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    got = {x.doc_id: x.class_id for x in minhash.near_duplicates(docs, shingle=1, bands=40, rows=1, similarity=0.9, block=4).collect()}
+    assert seen[0] and got == {i: i - i % 3 for i in range(len(texts))}
+
+
 def test_signatures_estimate_weighted_jaccard():
     from quire.llm.minhash import overlap, signatures
 
