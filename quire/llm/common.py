@@ -64,7 +64,13 @@ def chunks(items, n: int) -> Iterator[list]:
         yield part
 
 
-def joined_spread(rows: DataFrame, unique: DataFrame, key: str, by: str, how: str = "inner") -> DataFrame:
+def renamed(docs: DataFrame) -> tuple[DataFrame, dict[str, str]]:
+    """The table under names that no column of another table and no parser trips over, and old name -> new name."""
+    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()]), names
+
+
+def joined_spread(rows: DataFrame, unique: DataFrame, key: str | list[str], by: str, how: str = "inner") -> DataFrame:
     """``rows`` joined to ``unique``, which has one row a key, where a key may hold any share of ``rows``.
 
     A key's rows are dealt by ``by`` over as many tasks as a shuffle has; ``unique`` meets the distinct
@@ -72,8 +78,9 @@ def joined_spread(rows: DataFrame, unique: DataFrame, key: str, by: str, how: st
     """
     ways = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = rows.withColumn("_way", F.pmod(F.xxhash64(by), F.lit(ways)).cast("int"))
-    known = dealt.select(key, "_way").distinct().join(unique, key)
-    return dealt.join(known, [key, "_way"], how).drop("_way")
+    keys = [key] if isinstance(key, str) else key
+    known = dealt.select(*keys, "_way").distinct().join(unique, keys)
+    return dealt.join(known, [*keys, "_way"], how).drop("_way")
 
 
 def keyed(docs: DataFrame, key: str, text: str, carry: list[str] | None = None) -> DataFrame:

@@ -5,8 +5,8 @@ is ``width`` consecutive words of a benchmark item, or all its words where it ha
 A document word inside any occurrence of a window is hit.
 
 The windows go to the executors as a hash set, at most ``block_windows`` at a time; a benchmark
-beyond that is scanned in as many passes as it has blocks, and the marks of the passes are joined,
-so its size never decides what is found. A hash hit is verified word by word.
+beyond that is scanned in as many passes as it has blocks, each written before the next block is
+read, and the marks of the passes are joined, so its size never decides what is found. A hash hit is verified word by word.
 
 Defined results: a null or empty text has no words and is clean; an item without words has no
 window; repeated items are one item by their id; an item with a null id still hits words but isn't
@@ -15,15 +15,17 @@ counted or named; repeated documents give repeated rows; other columns of either
 
 from __future__ import annotations
 
-import hashlib
 import re
 from collections import defaultdict
+from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_rows
+from quire.llm.common import map_rows, renamed
+from quire.session import discard, materialize
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
 BASE = np.uint64(0x9E3779B97F4A7C15)
@@ -126,63 +128,92 @@ def decontaminate(
     ``spans``: all rows of ``docs``, without the words that are hit and what stands between them."""
     if mode not in ("report", "documents", "spans"):
         raise ValueError(f"no such mode: {mode}")
-    passes = list(blocks_of(benchmark, width, block_windows, item, item_text))
-    if len(passes) > 1 and mode == "report":
-        return report_in_passes(docs, passes, key, text)
+    blocks = blocks_of(benchmark, width, block_windows, item, item_text)
+    block, following = next(blocks), next(blocks, None)
+    if following is not None:
+        return in_passes(docs, chain([block, following], blocks), mode, key, text)
     if mode == "report":
-        return marked(docs, passes[0], key, text).select(
-            key, "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"), "items_sha256", (F.size("hits") > 0).alias("contaminated")
-        )
-    out = docs
-    for block in passes:  # a document or span that one pass removes isn't missed by the next
-        out = filtered(out, block, mode, text)
-    return out
+        return counted(marked(docs.select(F.col(f"`{key}`").alias("_k"), F.col(f"`{text}`").alias("_text")), block), F.col("_k").alias(key))
+    plain, names = renamed(docs)
+    return filtered(plain, block, mode, names[text]).toDF(*names)
 
 
-def digest(items: list[str]) -> str:
-    return hashlib.sha256(",".join(sorted(items)).encode()).hexdigest()
+def counted(marks: DataFrame, key: Column) -> DataFrame:
+    return marks.select(
+        key, "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
+    )
 
 
-def marked(docs: DataFrame, block, key: str, text: str) -> DataFrame:
-    shared = docs.sparkSession.sparkContext.broadcast(block)
+def marked(rows: DataFrame, block) -> DataFrame:
+    """(_k, n_words, hits, items) of rows of (_k, text): the places of the words that are hit, and the items, sorted as strings."""
+    shared = rows.sparkSession.sparkContext.broadcast(block)
 
     def make():
         scanner = Scanner(shared.value)
 
         def work(columns):
-            out = [columns[0], [], [], [], []]
+            out = [columns[0], [], [], []]
             for t in columns[1]:
                 w, found, kinds = scanner.scan(t)
-                items = sorted({i for t in kinds for i in scanner.block[t]})
                 out[1].append(len(w))
                 out[2].append(np.nonzero(hit_words(len(w), found))[0].tolist() if found else [])
-                out[3].append(items)
-                out[4].append(digest(items))
+                out[3].append(sorted({i for t in kinds for i in scanner.block[t]}))
             return out
 
         return work
 
-    kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(key, text), make, f"`{key}` {kind}, n_words long, hits array<int>, items array<string>, items_sha256 string")
+    return map_rows(rows, make, f"_k {rows.schema['_k'].dataType.simpleString()}, n_words long, hits array<int>, items array<string>")
 
 
-def report_in_passes(docs: DataFrame, passes, key: str, text: str) -> DataFrame:
-    """Each pass marks its own block's hits; a document's marks are joined by its row."""
-    rows = docs.select(F.col(key).alias(key), F.col(text).alias(text), F.xxhash64(text).alias("_t"))
+def in_passes(docs: DataFrame, blocks: Iterator, mode: str, key: str, text: str) -> DataFrame:
+    """One pass a block, written before the next block is read, so that the driver holds two blocks at most.
+
+    A report and the cut of spans need every row's marks of all passes, since windows overlap: rows
+    are numbered, and their marks joined by number.
+    """
+    plain, names = renamed(docs)
+    if mode == "documents":
+        out = plain
+        for block in blocks:
+            before, out = out, materialize(filtered(out, block, mode, names[text]), "clean")
+            discard(before)
+        return out.toDF(*names)
+    rows = materialize(plain.withColumn("_k", F.monotonically_increasing_id()), "rows")
+    texts = rows.select("_k", F.col(names[text]).alias("_text"))
     every = None
-    for block in passes:
-        own = marked(rows.withColumn("_k", F.struct(key, "_t")).select("_k", text), block, "_k", text)
+    for block in blocks:
+        own = materialize(marked(texts, block).filter("size(hits) > 0"), "marks")
         every = own if every is None else every.unionByName(own)
-    n = len(passes)
-    # Rows of the same key and text are alike: their marks merge, and their number is kept.
-    merged = every.groupBy("_k").agg(
-        F.max("n_words").alias("n_words"), F.array_distinct(F.flatten(F.collect_list("hits"))).alias("hits"),
-        F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"), (F.count("*") / n).cast("int").alias("n"),
-    )
-    return merged.withColumn("_i", F.explode(F.sequence(F.lit(1), F.col("n")))).select(
-        F.col(f"_k.{key}").alias(key), "n_words", F.size("hits").cast("long").alias("n_hit"), F.size("items").cast("long").alias("n_items"),
-        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.size("hits") > 0).alias("contaminated"),
-    )
+    merged = every.groupBy("_k").agg(F.array_sort(F.array_distinct(F.flatten(F.collect_list("hits")))).alias("hits"), F.array_sort(F.array_distinct(F.flatten(F.collect_list("items")))).alias("items"))
+    none = F.array().cast("array<string>")
+    marks = rows.select("_k").join(merged, "_k", "left").select("_k", F.coalesce("hits", none.cast("array<int>")).alias("hits"), F.coalesce("items", none).alias("items"))
+    if mode == "report":
+        sizes = marked(texts, {}).select("_k", "n_words")
+        return counted(rows.select("_k", F.col(names[key]).alias("_key")).join(sizes, "_k").join(marks, "_k"), F.col("_key").alias(key))
+    return cut(rows.join(marks.drop("items"), "_k").drop("_k"), names[text]).toDF(*names)
+
+
+def cut(docs: DataFrame, text: str) -> DataFrame:
+    """``docs`` with a last column ``hits``: without it, and without the words that it names."""
+    at = docs.columns.index(text)
+
+    def make():
+        def work(columns):
+            *kept, hits = columns
+            texts = []
+            for t, h in zip(kept[at], hits):
+                if h:
+                    hit = np.zeros(len(words(t)), dtype=bool)
+                    hit[h] = True
+                    t = without(t, hit)
+                texts.append(t)
+            kept[at] = texts
+            return kept
+
+        return work
+
+    return map_rows(docs, make, ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema if f.name != "hits"))
 
 
 def filtered(docs: DataFrame, block, mode: str, text: str) -> DataFrame:

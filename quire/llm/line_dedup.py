@@ -29,7 +29,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from quire.llm.common import keyed
+from quire.llm.common import joined_spread, keyed, renamed
 from quire.session import discard, materialize
 
 UNPARTED = "".join(rf"\p{{Is{name}}}" for name in ("Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"))
@@ -119,7 +119,7 @@ def later_copies(rows: DataFrame, min_words: int, widely: int | None, words: Cal
     discard(table)
     interval = ["lines", "a", "b"]
     firsts = found.groupBy(*interval).agg(F.min(F.struct("k", "n")).alias("first"), F.count("*").alias("copies")).filter("copies > 1")
-    later = found.join(firsts, interval).filter(F.struct("k", "n") != F.col("first"))
+    later = joined_spread(found, firsts, interval, "k").filter(F.struct("k", "n") != F.col("first"))
     numbers = F.flatten(F.collect_set(F.sequence("n", F.col("n") + F.col("lines") - 1)))
     return later.groupBy("k").agg(F.array_sort(F.array_distinct(numbers)).alias("gone"))
 
@@ -147,9 +147,8 @@ def dedup_lines(docs: DataFrame, *, min_words: int = 10, widely: int | None = No
 
 def without_repeated_lines(docs: DataFrame, *, min_words: int = 10, widely: int | None = None, words: Callable[[Column], Column] = by_spaces, key: str = "doc_id", text: str = "text") -> DataFrame:
     """The rows of ``docs`` with all their columns, their texts without later copies of runs of lines."""
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    out = split_lines(keyed(renamed, names[key], names[text], carry=list(names.values())), min_words, widely, words).filter((F.size("gone") < F.col("n_lines")) | (F.col("n_lines") == 0))
+    plain, names = renamed(docs)
+    out = split_lines(keyed(plain, names[key], names[text], carry=list(names.values())), min_words, widely, words).filter((F.size("gone") < F.col("n_lines")) | (F.col("n_lines") == 0))
     of = lambda c, n: F.when(F.size("gone") > 0, F.col("kept")).otherwise(F.col(n)) if c == text else F.col(n)
     return out.select(*[of(c, n).alias(c) for c, n in names.items()])
 

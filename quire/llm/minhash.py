@@ -38,7 +38,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import Memo, joined_spread
+from quire.llm.common import Memo, joined_spread, renamed
 from quire.session import discard, materialize
 
 WORDS = re.compile(rb"[0-9a-z\x80-\xff]+")
@@ -374,7 +374,7 @@ def classed(docs: DataFrame, *, shingle: int = 5, similarity: float = 0.8, bands
 
 def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """One row a document: key, class_id and whether it is the one of its class that is kept."""
-    table, classes, _ = classed(docs.select(F.col(key).alias("c0"), F.col(text).alias("c1")), key="c0", text="c1", carry=[], **options)
+    table, classes, _ = classed(docs.select(F.col(f"`{key}`").alias("c0"), F.col(f"`{text}`").alias("c1")), key="c0", text="c1", carry=[], **options)
     out = joined_spread(table.select("rid", "key", "node"), classes, "node", "rid", "left")
     alone = F.col("node").isNull()
     return out.select(F.col("key").alias(key), F.when(alone, F.col("key")).otherwise(F.col("class.key")).alias("class_id"), (alone | (F.col("rid") == F.col("class.rid"))).alias("kept"))
@@ -382,8 +382,7 @@ def near_duplicates(docs: DataFrame, *, key: str = "doc_id", text: str = "text",
 
 def distinct_documents(docs: DataFrame, *, key: str = "doc_id", text: str = "text", **options) -> DataFrame:
     """The rows of ``docs`` that are kept, with all their columns."""
-    names = {c: f"c{i}" for i, c in enumerate(docs.columns)}
-    renamed = docs.select(*[F.col(f"`{c}`").alias(n) for c, n in names.items()])
-    table, _, kept = classed(renamed, key=names[key], text=names[text], carry=list(names.values()), **options)
+    plain, names = renamed(docs)
+    table, _, kept = classed(plain, key=names[key], text=names[text], carry=list(names.values()), **options)
     rows = table.filter("node is null").unionByName(table.join(kept, "rid", "left_semi"))
     return rows.select(*[F.col(n).alias(c) for c, n in names.items()])

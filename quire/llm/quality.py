@@ -22,7 +22,7 @@ import numpy as np
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from quire.llm.common import map_rows
+from quire.llm.common import map_rows, renamed
 
 BLOCK = 512
 
@@ -178,6 +178,7 @@ def accepted(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3, te
 
     shared = docs.sparkSession.sparkContext.broadcast(model)
     at = docs.columns.index(text)
+    plain, names = renamed(docs)
 
     def run(batches):
         own = shared.value
@@ -188,4 +189,4 @@ def accepted(docs: DataFrame, model: QualityModel, *, threshold: float = 0.3, te
                 keep = own.probability(*np.array(found).T) >= threshold
                 yield batch.filter(pa.array(keep))
 
-    return docs.mapInArrow(run, docs.schema)
+    return plain.mapInArrow(run, plain.schema).toDF(*names)

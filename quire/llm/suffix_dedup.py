@@ -147,49 +147,61 @@ def byte_group(width: int) -> int:
     return max(g for g in range(1, 9) if width % g == 0)
 
 
-def interval_groups(text: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray]:
-    """Suffixes in the order of their first ``width`` bytes, and True where one doesn't share these with the one before.
+def leading(text: np.ndarray, symbols: int) -> np.ndarray:
+    """The first ``symbols`` bytes of each suffix as one number."""
+    out = np.zeros(len(text), dtype=np.uint64)
+    padded = np.concatenate([text, np.zeros(symbols, dtype=np.uint8)])
+    for i in range(symbols):
+        out = (out << np.uint64(8)) | padded[i : i + len(text)]
+    return out
+
 
-    ``text`` ends in ``width`` zero bytes or more.
+def suffix_order(text: np.ndarray) -> np.ndarray:
+    """All suffixes in order, by doubling: only those that still share a rank are sorted again."""
+    n, known = len(text), 8
+    key = leading(text, known)
+    order = np.argsort(key)
+    edge = np.concatenate([[True], np.diff(key[order]) != 0])
+    rank = np.zeros(n + 1, dtype=np.uint64)  # a rank is its first row, counted from 1; 0 beyond the end
+    rank[order] = np.maximum.accumulate(np.where(edge, np.arange(n), 0)) + 1
+    rows = np.flatnonzero(~edge | ~np.append(edge[1:], True))
+    while len(rows) and known < n:
+        who = order[rows]
+        key = (rank[who] << np.uint64(32)) | rank[np.minimum(who + known, n)]
+        by = np.argsort(key)
+        who, key = who[by], key[by]
+        edge = np.concatenate([[True], np.diff(key) != 0])
+        order[rows] = who
+        rank[who] = np.maximum.accumulate(np.where(edge, rows, 0)) + 1
+        rows = rows[~edge | ~np.append(edge[1:], True)]
+        known *= 2
+    return order
+
+
+def expanded(text: np.ndarray, order: np.ndarray, width: int) -> np.ndarray:
+    """True where a row of the order doesn't share its first ``width`` bytes with the row before.
+
+    Backward extension: row j's suffix without its first symbol stands in row after[j]; two rows that
+    share a symbol share one symbol more than the rows after them do. So the boundaries of the
+    intervals of n symbols give those of n + 1, by increasing n, and the expansion stops at ``width``.
     """
     n, group = len(text), byte_group(width)
-    key = np.zeros(n, dtype=np.uint64)
-    padded = np.concatenate([text, np.zeros(8, dtype=np.uint8)])
-    for i in range(8):
-        key = (key << np.uint64(8)) | padded[i : i + n]
-    known, order, rank = 8, None, None
-    while True:
-        order = np.argsort(key)
-        sorted_key = key[order]
-        edge = np.concatenate([[True], sorted_key[1:] != sorted_key[:-1]])
-        rank = np.empty(n, dtype=np.uint64)
-        rank[order] = np.cumsum(edge).astype(np.uint64)
-        if known >= width:
-            break
-        step = min(known, width - known)
-        key = rank << np.uint64(32)
-        key[: n - step] |= rank[step:]
-        known += step
-    # Backward extension: row j's suffix without its first symbol stands in row after[j].
     place = np.empty(n, dtype=np.int64)
     place[order] = np.arange(n)
     after = place[np.minimum(order + group, n - 1)]
-    symbol = np.zeros(n, dtype=np.uint64)
-    for i in range(group):
-        symbol = (symbol << np.uint64(8)) | padded[i : i + n]
-    symbol = symbol[order]
-    bound = np.concatenate([[True], symbol[1:] != symbol[:-1]])  # common prefix under one symbol
-    open_rows = np.flatnonzero(~bound)
-    low, high = after[open_rows - 1], after[open_rows]
+    symbol = leading(text, group)[order]
+    bound = np.concatenate([[True], symbol[1:] != symbol[:-1]])  # intervals of one symbol
+    rows = np.flatnonzero(~bound)
+    low, high = after[rows - 1], after[rows]
     for _ in range(width // group - 1):
         upto = np.cumsum(bound, dtype=np.int32)
         found = upto[high] > upto[low]
         if not found.any():
             break
-        bound[open_rows[found]] = True  # a prefix one symbol longer than those of the level before
+        bound[rows[found]] = True
         stay = ~found
-        open_rows, low, high = open_rows[stay], low[stay], high[stay]
-    return order, bound
+        rows, low, high = rows[stay], low[stay], high[stay]
+    return bound
 
 
 def repeated_windows(contents: list[bytes], keys: np.ndarray, starts: np.ndarray, width: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -200,7 +212,8 @@ def repeated_windows(contents: list[bytes], keys: np.ndarray, starts: np.ndarray
     owner = np.repeat(np.arange(len(contents)), sizes - width + 1)
     first = np.repeat(begin, sizes - width + 1)
     at = first + np.arange(len(owner)) - np.repeat(np.cumsum(sizes - width + 1) - (sizes - width + 1), sizes - width + 1)
-    order, bound = interval_groups(text, width)
+    order = suffix_order(text)
+    bound = expanded(text, order, width)
     group = np.empty(len(text), dtype=np.int64)
     group[order] = np.cumsum(bound)
     g, k, s = group[at], keys[owner], starts[owner] + at - first

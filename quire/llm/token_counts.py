@@ -19,6 +19,7 @@ from heapq import heapify, heappop, heappush
 
 import regex
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
 
 from quire.llm.common import Memo, map_rows
 
@@ -113,4 +114,4 @@ def token_counts(docs: DataFrame, vocabulary: str, limit: int = 512, text: str =
         return work
 
     kind = docs.schema[key].dataType.simpleString()
-    return map_rows(docs.select(key, text), make, f"{key} {kind}, n_bytes long, n_tokens long, over_limit boolean")
+    return map_rows(docs.select(F.col(f"`{key}`").alias(key), F.col(f"`{text}`").alias("_text")), make, f"`{key}` {kind}, n_bytes long, n_tokens long, over_limit boolean")

@@ -78,13 +78,41 @@ def ftrl(rows, size: int, *, alpha: float = 2.0, beta: float = 1.0, l1: float =
     return w, b
 
 
+def log_loss(rows, w: np.ndarray, b: float) -> float:
+    z = np.array([w[at].sum() + b for at, _ in rows])
+    return float(np.mean(np.logaddexp(0, np.where([y for _, y in rows], -z, z))))
+
+
+def chosen(examples: list, size: int, strengths: tuple[float, ...], folds: int = 4) -> float:
+    """The L1 strength of the least log loss on examples that weren't learned from, by cross-validation."""
+    if len(strengths) == 1:
+        return strengths[0]
+
+    def loss(l1: float) -> float:
+        total = 0.0
+        for fold in range(folds):
+            used, left = [x for i, x in enumerate(examples) if i % folds != fold], examples[fold::folds]
+            total += log_loss(left, *ftrl(used, size, bias=odds(used), l1=l1 * len(used) ** 0.5)) * len(left)
+        return total
+
+    return min(strengths, key=loss)
+
+
+def odds(rows) -> float:
+    ones = sum(y for _, y in rows)
+    return float(np.log((ones + 0.5) / (len(rows) - ones + 0.5)))
+
+
 def train_toxicity(
     docs: DataFrame, labels: DataFrame, usable: Column, *, label: str = "toxic", key: str = "doc_id", text: str = "text",
-    rows: int = 4000, longest: int = 32_768, features: int = 24_000_000, bits: int = 20, l1: float = 0.1,
+    rows: int = 4000, features: int = 24_000_000, bits: int = 20, strengths: tuple[float, ...] = (0.05, 0.1, 0.2, 0.4), tried: int = 1000,
 ) -> ToxicityModel:
-    """Learn from ``rows`` labelled texts of each class at most, of up to ``longest`` characters, and from ``features`` of theirs."""
+    """Learn from ``rows`` labelled texts of each class at most, in an order by hash until they have ``features``.
+
+    The L1 strength is the best of ``strengths`` in a cross-validation over the first ``tried`` texts.
+    """
     sample = sampled(labels, label, key, usable, rows)
-    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").filter(F.length("t") <= longest)
+    own = docs.select(F.col(key).alias("k"), F.col(text).alias("t")).join(F.broadcast(sample), "k").filter("t is not null")
 
     def make():
         of = featurizer(bits)
@@ -102,9 +130,9 @@ def train_toxicity(
     if len({y for _, y in examples}) < 2:
         share = (ones + 1) / (ones + zeros + 2)
         return ToxicityModel(bits, np.zeros(0, np.int32), np.zeros(0, np.float32), float(np.log(share / (1 - share))))
+    l1 = chosen(examples[:tried], 1 << bits, strengths)
     # One example in five isn't learned from: the scale of the sums and their offset are fitted on these.
     held, used = examples[4::5], [x for i, x in enumerate(examples) if i % 5 != 4]
-    odds = lambda part: float(np.log((sum(y for _, y in part) + 0.5) / (len(part) - sum(y for _, y in part) + 0.5)))
     # The noise of a coordinate's sum grows as the root of the examples.
     w, b = ftrl(used, 1 << bits, bias=odds(used), l1=l1 * (len(used) ** 0.5))
     scale, offset = 1.0, 0.0
