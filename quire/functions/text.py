@@ -77,10 +77,11 @@ def small_caps(text: Column) -> Column:
         upper = F.length(F.regexp_replace(word, r"\P{Lu}", ""))
         later = F.length(F.regexp_replace(F.substring(alpha, F.lit(2), F.length(alpha)), r"\P{Lu}", ""))
         odd = ((upper == n) & (n >= 2)) | ((n >= 3) & (upper / n >= 0.6)) | (later >= 2)
-        return F.when((F.length(word) >= 2) & odd, F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, F.lit(2), F.length(word))))).otherwise(word)
+        several = word.rlike(r"\p{Lu}.*\p{Lu}")  # any pattern has two capitals: most words are done here
+        return F.when(several & odd, F.concat(F.upper(F.left(word, F.lit(1))), F.lower(F.substring(word, F.lit(2), F.length(word))))).otherwise(word)
 
     joined = F.zip_with(between, words, lambda gap, word: F.concat(F.coalesce(gap, F.lit("")), F.coalesce(fixed(word), F.lit(""))))
-    return F.array_join(joined, "")
+    return F.when(plain.rlike(r"\p{Lu}[A-Za-zÀ-ɏ]*\p{Lu}"), F.array_join(joined, "")).otherwise(plain)
 
 
 def strip_footnotes(text: Column) -> Column:

@@ -121,7 +121,7 @@ def repeat_scores(grouped: DataFrame, text: str = "text") -> DataFrame:
 
 def review_sample(sentences: DataFrame, mentions: DataFrame, *, key: str = "sentence_id", size: int = 150, seed: int = 42) -> DataFrame:
     """sm_review, tx_predicted_join: a seeded sample by hash with its predictions and three columns to fill in."""
-    drawn = sentences.orderBy(F.xxhash64(key, F.lit(seed)), key).limit(size)
+    drawn = sentences.orderBy(F.md5(F.concat_ws("/", F.col(key).cast("string"), F.lit(str(seed))).cast("binary")), key).limit(size)
     joined = mentions.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("start", F.concat(F.col("label"), F.lit(": "), F.col("text")).alias("p")))).alias("all"))
     return drawn.join(joined, key, "left").select(
         key, "sentence", F.coalesce(F.array_join(F.transform("all", lambda x: x["p"]), " | "), F.lit("")).alias("predicted"),

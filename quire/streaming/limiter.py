@@ -22,10 +22,14 @@ def admit(times: list[float], recent: list[float], most: int, span: float) -> tu
 def limited(events: DataFrame, *, client: str = "user_id", ts: str = "ts", order: str = "event_id", most: int = 10, span: float = HOUR) -> DataFrame:
     """Batch form: (client, order, ts, allowed). What was denied before decides, so a client's events are folded in order.
 
-    A client is one row of times: its array is bounded by the client's own events.
+    A pause of ``span`` ends all that is remembered, so a client's events are cut at pauses first, and
+    each piece is folded by itself: a row is as long as the longest stretch without one.
     """
     at = F.unix_micros(F.col(ts).cast("timestamp")) / 1e6
-    rows = events.groupBy(client).agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), F.col(order).alias("o"), F.col(ts).alias("ts")))).alias("all"))
+    by = Window.partitionBy(client).orderBy(at, order)
+    pause = F.coalesce((at - F.lag(at).over(by) >= span).cast("int"), F.lit(0))
+    pieces = events.withColumn("_pause", pause).withColumn("_piece", F.sum("_pause").over(by))
+    rows = pieces.groupBy(client, "_piece").agg(F.array_sort(F.collect_list(F.struct(at.alias("t"), F.col(order).alias("o"), F.col(ts).alias("ts")))).alias("all"))
 
     def run(batches):
         for b in batches:
@@ -33,7 +37,7 @@ def limited(events: DataFrame, *, client: str = "user_id", ts: str = "ts", order
             yield b[[client, "allowed"]].assign(all=b["all"])[[client, "all", "allowed"]]
 
     kind = rows.schema["all"].dataType.simpleString()
-    done = rows.mapInPandas(run, f"{client} {rows.schema[client].dataType.simpleString()}, all {kind}, allowed array<boolean>")
+    done = rows.drop("_piece").mapInPandas(run, f"{client} {rows.schema[client].dataType.simpleString()}, all {kind}, allowed array<boolean>")
     return done.select(client, F.explode(F.arrays_zip("all", "allowed")).alias("x")).select(client, F.col("x.all.o").alias(order), F.col("x.all.ts").alias(ts), F.col("x.allowed").alias("allowed"))
 
 
@@ -44,9 +48,13 @@ def requests_last_hour(events: DataFrame, *, client: str = "user_id", ts: str =
     return events.withColumn("last_hour", F.count("*").over(by))
 
 
-def limit_stream(events: DataFrame, *, client: str = "user_id", ts: str = "ts", most: int = 10, span: float = HOUR) -> DataFrame:
-    """Streaming form: the times of the last hour are each client's state, which ends an hour after its last request."""
-    kind = events.schema[client].dataType.simpleString()
+def limit_stream(events: DataFrame, *, client: str = "user_id", ts: str = "ts", order: str = "event_id", most: int = 10, span: float = HOUR) -> DataFrame:
+    """Streaming form: (client, order, ts, allowed). The times of the last hour are each client's state.
+
+    Events are judged by their own times; state ends by the clock, once a client was silent for ``span``,
+    so that a replay of old events never forgets too early.
+    """
+    kind, number = (events.schema[c].dataType.simpleString() for c in (client, order))
 
     def run(key, batches, state):
         if state.hasTimedOut:
@@ -54,10 +62,10 @@ def limit_stream(events: DataFrame, *, client: str = "user_id", ts: str = "ts",
             return
         recent = list(state.get[0]) if state.exists else []
         frames = [b for b in batches]
-        every = pd.concat(frames).sort_values([ts])
+        every = pd.concat(frames).sort_values([ts, order])
         allowed, recent = admit([t.timestamp() for t in every[ts]], recent, most, span)
         state.update((recent,))
         state.setTimeoutDuration(int(span * 1000))
-        yield every.assign(allowed=allowed)[[client, ts, "allowed"]]
+        yield every.assign(allowed=allowed)[[client, order, ts, "allowed"]]
 
-    return events.select(client, ts).groupBy(client).applyInPandasWithState(run, f"{client} {kind}, {ts} timestamp, allowed boolean", "recent array<double>", "append", "ProcessingTimeTimeout")
+    return events.select(client, order, ts).groupBy(client).applyInPandasWithState(run, f"{client} {kind}, {order} {number}, {ts} timestamp, allowed boolean", "recent array<double>", "append", "ProcessingTimeTimeout")

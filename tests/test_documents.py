@@ -93,17 +93,65 @@ def test_limiter(spark):
     assert [got[i] for i in range(13)] == [True] * 10 + [False, False, True]
 
 
+WIDE = f"volume string, page string, width int, images array<struct<x0:int,y0:int,x1:int,y1:int>>, region string, region_idx int, line_idx int, line_id string, x0 int, y0 int, x1 int, y1 int, words {layout.WORDS}"
+
+
+def test_lines_without_confidence_stay(spark):
+    words = [("Kirche", None, 100, 100, 300, 140), ("Fid", None, 320, 100, 400, 140), (".", None, 420, 130, 430, 140)]
+    lines = spark.createDataFrame([("v", "p", 2500, [], "r", 0, 0, "l", 100, 100, 430, 140, words)], WIDE)
+    kept = layout.without_stray_words(layout.noise(layout.features(lines))).first()
+    assert kept.drop_reason is None and kept.text == "Kirche Fid ."
+
+
+def test_split_lines_keep_their_outer_boxes(spark):
+    words = [("links", 0.9, 110, 105, 500, 140), ("hier", 0.9, 520, 105, 800, 140), ("rechts", 0.9, 1400, 108, 1800, 140), ("dort", 0.9, 1820, 108, 2300, 140)]
+    lines = spark.createDataFrame([("v", "p", 2500, [], "r", 0, 0, "l", 100, 100, 2350, 150, words)], WIDE)
+    out = layout.split_columns(layout.noise(layout.features(lines))).orderBy("line_idx").collect()
+    assert [(r.x0, r.y0, r.x1, r.y1, r.line_id) for r in out] == [(100, 100, 800, 150, "l_c1"), (1400, 100, 2350, 150, "l_c2")]
+
+
+def test_markers(spark):
+    texts = ["Stadt' und", "a) Kirche*, (Chor) Bild) neu", "«Farna»1 ruht? vollendet?,", "1707 Haus12 Haus1\nWort]. !", "(auf Seite 3) b3) «x"]
+    pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page int, text string")
+    got = sorted((r.page, r.start, r.end, r.cluster) for r in layout.find_markers(pages).collect())
+    assert got == [(0, 5, 6, "'"), (1, 9, 10, "*"), (1, 23, 24, ")"), (2, 7, 8, "1"), (2, 24, 25, "?"), (3, 16, 17, "1"), (3, 22, 23, "]"), (4, 15, 17, "3)")]
+
+
+def test_two_volumes_stay_apart(spark):
+    rows = [(v, f"{v}/{p}", 0, "body", "r", [t], ["l"], [(0, t, "l", 0, 0, 9)]) for v, p, t in (("a", 1, "ein Wort voll-"), ("a", 2, "endet hier."), ("b", 1, "anders voll-"), ("b", 2, "kommen und"))]
+    paras = spark.createDataFrame(rows, "volume string, page string, para_idx int, stratum string, region string, lines array<string>, line_ids array<string>, all array<struct<line_idx:int,text:string,line_id:string,x0:int,x1:int,width:int>>")
+    got = {(r.volume, r.text) for r in layout.joined_body(layout.reflowed(paras)).collect()}
+    assert got == {("a", "ein Wort vollendet hier."), ("b", "anders vollkommen und")}
+    lines = spark.createDataFrame([("a/1", 0, "neu"), ("a/2", 0, "x"), ("a/2", 1, "y"), ("b/1", 0, "neu")], "page string, line_no int, text string")
+    out = {r.page: (r.text, r.error) for r in layout.aligned_lines(paras.select("page", "para_idx", F.col("lines")[0].alias("text")), lines).collect()}
+    assert out == {"a/1": ("neu", None), "a/2": ("endet hier.", "1 paragraphs, 2 lines"), "b/1": ("neu", None), "b/2": ("kommen und", "1 paragraphs, 0 lines")}
+
+
+def test_limiter_in_a_stream(spark, tmp_path):
+    import datetime
+
+    t0 = datetime.datetime(2024, 1, 1)
+    rows = [(k, 100 * k + i, t0 + datetime.timedelta(minutes=i * (k + 1))) for k in (1, 2) for i in range(40)]
+    events = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
+    events.write.parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
+    query = limiter.limit_stream(stream).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
+    query.awaitTermination(120)
+    got = {tuple(r) for r in spark.table("limited").collect()}
+    assert got == {tuple(r) for r in limiter.limited(events).select("user_id", "event_id", "ts", "allowed").collect()} and len(got) == 80
+
+
 def test_layout(spark):
     def line(i, text, y, h=40, conf=0.95, x0=100, region="r1", region_idx=0):
         words, x = [], x0
         for w in text.split():
             words.append((w, conf, x, y, x + 30 * len(w), y + h))
             x += 30 * len(w) + 15
-        return ("0001", 2500, [], region, region_idx, i, f"l{i}", x0, y, x, y + h, words)
+        return ("v1", "0001", 2500, [], region, region_idx, i, f"l{i}", x0, y, x, y + h, words)
 
     rows = [line(0, "10 Kirche", 10, region="h"), line(1, "Das Werk wurde von dem alten Meister der Stadt' voll-", 100, region_idx=1), line(2, "endet und in der Kirche zu St. Fiden neu aufgestellt", 165, region_idx=1),
             line(3, "mit allen Figuren und mit dem grossen Bild im Chor.", 230, region_idx=1), line(4, "§", 290, conf=0.2, region_idx=1), line(5, "1 Vad. I, S. 365.", 340, h=25, region="f", region_idx=2)]
-    schema = f"page string, width int, images array<struct<x0:int,y0:int,x1:int,y1:int>>, region string, region_idx int, line_idx int, line_id string, x0 int, y0 int, x1 int, y1 int, words {layout.WORDS}"
+    schema = f"volume string, page string, width int, images array<struct<x0:int,y0:int,x1:int,y1:int>>, region string, region_idx int, line_idx int, line_id string, x0 int, y0 int, x1 int, y1 int, words {layout.WORDS}"
     from quire.plans.documents import volume
 
     out = volume(spark.createDataFrame(rows, schema))
