@@ -32,7 +32,9 @@ def volume(lines: DataFrame, style: str = "unicode") -> dict[str, DataFrame]:
     """A volume's lines to ``lines``, ``paragraphs``, ``body``, ``notes``, ``footnotes`` (status a page) and ``audit``."""
     kept = materialize(layout.kept_lines(lines), "lines")  # what follows reads it several times
     marked, footnotes = layout.with_markers(kept, style)
-    paras = materialize(layout.two_columns(layout.titled(layout.reflowed(layout.paragraphs(layout.strata(marked))))), "paragraphs")
+    marked = materialize(marked, "marked")
+    runs = materialize(layout.paragraphs(layout.strata(marked)), "runs")
+    paras = materialize(layout.two_columns(layout.titled(layout.reflowed(runs))), "paragraphs")
     changed = layout.audit(kept.select("page", "line_idx", F.col("raw").alias("text")), kept, "rule").unionByName(layout.audit(kept, marked, "marker"))
     return {"lines": marked, "paragraphs": paras, "body": layout.joined_body(paras), "notes": layout.joined_notes(paras), "footnotes": footnotes, "audit": changed, "folios": layout.folios(paras)}
 

@@ -129,14 +129,19 @@ def test_two_volumes_stay_apart(spark):
 
 def test_limiter_in_a_stream(spark, tmp_path):
     import datetime
+    import time
 
     t0 = datetime.datetime(2024, 1, 1)
     rows = [(k, 100 * k + i, t0 + datetime.timedelta(minutes=i * (k + 1))) for k in (1, 2) for i in range(40)]
     events = spark.createDataFrame(rows, "user_id long, event_id long, ts timestamp")
     events.write.parquet(str(tmp_path / "in"))
     stream = spark.readStream.schema(events.schema).parquet(str(tmp_path / "in"))
-    query = limiter.limit_stream(stream).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).trigger(availableNow=True).start()
-    query.awaitTermination(120)
+    query = limiter.limit_stream(stream).writeStream.format("memory").queryName("limited").outputMode("append").option("checkpointLocation", str(tmp_path / "state")).start()
+    for _ in range(120):
+        if spark.table("limited").count() == len(rows) or query.exception():
+            break
+        time.sleep(0.5)
+    query.stop()
     got = {tuple(r) for r in spark.table("limited").collect()}
     assert got == {tuple(r) for r in limiter.limited(events).select("user_id", "event_id", "ts", "allowed").collect()} and len(got) == 80
 
