@@ -241,3 +241,8 @@ def text_stats(text: Column) -> Column:
     """ag_text_stats: characters and white-space tokens."""
     bare = F.regexp_replace(text, U + r"^\s+|\s+$", "")
     return F.struct(F.length(text).alias("chars"), F.when(bare == "", 0).otherwise(F.size(F.split(bare, U + r"\s+"))).alias("tokens"))
+
+
+def footnote_lines(text: Column) -> Column:
+    """ag_footnote_count: how many lines open like a footnote."""
+    return F.size(F.filter(F.split(text, "\n", -1), lambda x: x.rlike(U + R.FOOTNOTE_ENTRY)))

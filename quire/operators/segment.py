@@ -72,3 +72,8 @@ def regex_preview(docs: DataFrame, pattern: str, *, key: str = "doc_id", text: s
     """tk_match_preview: the first matches of each text with their surroundings."""
     context = F.regexp_extract_all(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), F.lit(f"(.{{0,{width}}}(?:{pattern}).{{0,{width}}})"), 1)
     return docs.select(key, F.posexplode(F.slice(context, 1, most)).alias("n", "preview"))
+
+
+def page_texts(rows: DataFrame, pages: DataFrame, *, on: list[str], text: str = "text") -> DataFrame:
+    """jn_page_text: each row with its page's raw text, empty where there is none."""
+    return rows.join(pages.select(*on, F.col(text).alias("raw_text")), on, "left").withColumn("raw_text", F.coalesce("raw_text", F.lit("")))

@@ -86,13 +86,18 @@ def norm_names(docs):
     return docs.select("doc_id", F.md5(T.norm_strict(F.col("text")).cast("binary")).alias("strict_md5"), F.md5(T.norm_relaxed(F.col("text")).cast("binary")).alias("relaxed_md5"))
 
 
-@query("documents", sql=f"""
-SELECT doc_id, md5(array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce(CASE WHEN length(w[i]) >= 2 AND (
-    (length(regexp_replace(w[i], '\\P{{Lu}}', '', 'g')) = length(regexp_replace(w[i], '\\P{{L}}', '', 'g')))
-    OR (length(regexp_replace(w[i], '\\P{{L}}', '', 'g')) >= 3 AND length(regexp_replace(w[i], '\\P{{Lu}}', '', 'g')) / length(regexp_replace(w[i], '\\P{{L}}', '', 'g')) >= 0.6)
-    OR length(regexp_replace(substring(regexp_replace(w[i], '\\P{{L}}', '', 'g'), 2), '\\P{{Lu}}', '', 'g')) >= 2) THEN CASE WHEN left(w[i], 1) = 'ß' THEN 'SS' ELSE upper(left(w[i], 1)) END || lower(substring(w[i], 2)) ELSE w[i] END, '')), '')) AS fixed_md5
-FROM (SELECT doc_id, regexp_split_to_array(t, '[A-Za-zÀ-ɏ]+') AS gaps, regexp_extract_all(t, '[A-Za-zÀ-ɏ]+') AS w
-      FROM (SELECT doc_id, replace(replace({TEXT}, 'on', 'ON'), 'ea', 'EıA') AS t0, replace(replace(replace({TEXT}, 'on', 'ON'), 'ea', 'EıA'), 'ı', 'i') AS t FROM documents))""")
+def capped_sql(source: str) -> str:
+    """(doc_id, t) of ``source`` with capitals put right."""
+    letters, capitals = "regexp_replace({}, '\\P{{L}}', '', 'g')", "regexp_replace({}, '\\P{{Lu}}', '', 'g')"
+    a, u = f"length({letters.format('w[i]')})", f"length({capitals.format('w[i]')})"
+    later = f"length({capitals.format('substring(' + letters.format('w[i]') + ', 2)')})"
+    first = "CASE WHEN left(w[i], 1) = 'ß' THEN 'SS' ELSE upper(left(w[i], 1)) END"
+    word = f"CASE WHEN length(w[i]) >= 2 AND ({u} = {a} OR ({a} >= 3 AND {u} / {a} >= 0.6) OR {later} >= 2) THEN {first} || lower(substring(w[i], 2)) ELSE w[i] END"
+    return f"""SELECT doc_id, array_to_string(list_transform(range(1, len(gaps) + 1), lambda i: gaps[i] || coalesce({word}, '')), '') AS t
+FROM (SELECT doc_id, regexp_split_to_array(t, '[A-Za-zÀ-ɏ]+') AS gaps, regexp_extract_all(t, '[A-Za-zÀ-ɏ]+') AS w FROM (SELECT doc_id, replace(t, 'ı', 'i') AS t FROM ({source})))"""
+
+
+@query("documents", sql=f"SELECT doc_id, md5(t) AS fixed_md5 FROM ({capped_sql(f"SELECT doc_id, replace(replace({TEXT}, 'on', 'ON'), 'ea', 'EıA') AS t FROM documents")})")
 def small_caps_fix(docs):
     t = F.replace(F.replace(F.coalesce("text", F.lit("")), F.lit("on"), F.lit("ON")), F.lit("ea"), F.lit("EıA"))
     return docs.select("doc_id", F.md5(T.small_caps(t).cast("binary")).alias("fixed_md5"))
@@ -119,7 +124,11 @@ def chunk_overlap(docs):
     return segment.chunks(docs).select("doc_id", "start", F.length("chunk").alias("n"), F.md5(F.col("chunk").cast("binary")).alias("chunk_md5"))
 
 
-@query("documents")
+@query("documents", sql=f"""
+WITH RECURSIVE s AS (SELECT doc_id, CAST(sentence_id AS BIGINT) AS i, length(s) AS n FROM ({SENTENCES})),
+c AS (SELECT doc_id, i, 0 AS chunk, n + 1 AS size FROM s WHERE i = 0
+  UNION ALL SELECT s.doc_id, s.i, CASE WHEN c.size + s.n > 800 THEN c.chunk + 1 ELSE c.chunk END, CASE WHEN c.size + s.n > 800 THEN s.n + 1 ELSE c.size + s.n + 1 END FROM c JOIN s ON s.doc_id = c.doc_id AND s.i = c.i + 1)
+SELECT doc_id, CAST(chunk AS INT) AS chunk, CAST(max(size) - 1 AS INT) AS n FROM c GROUP BY doc_id, chunk""")
 def chunk_greedy(docs):
     parts = T.chunk_greedy(T.split_sentences(F.coalesce("text", F.lit(""))))
     return docs.select("doc_id", F.posexplode(parts).alias("chunk", "text")).select("doc_id", "chunk", F.length("text").alias("n"))
@@ -190,7 +199,12 @@ def requests_last_hour(events):
     return limiter.requests_last_hour(events).select("event_id", "user_id", "last_hour")
 
 
-@query("events")
+@query("events", sql="""
+WITH RECURSIVE e AS (SELECT user_id, event_id, ts, epoch_us(ts) AS t, row_number() OVER (PARTITION BY user_id ORDER BY epoch_us(ts), event_id) AS i FROM events),
+f AS (SELECT user_id, event_id, ts, i, true AS allowed, [t] AS recent FROM e WHERE i = 1
+  UNION ALL SELECT user_id, event_id, ts, i, len(r) < 10, CASE WHEN len(r) < 10 THEN list_append(r, t) ELSE r END FROM (
+    SELECT e.user_id, e.event_id, e.ts, e.i, e.t, list_filter(f.recent, lambda x: e.t - x < 3600000000) AS r FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1))
+SELECT user_id, event_id, ts, allowed FROM f""")
 def rate_limit(events):
     return limiter.limited(events)
 
@@ -415,17 +429,44 @@ def hyphen_reflow(docs):
     return docs.select("doc_id", lines.alias("lines")).select("doc_id", F.md5(F.array_join(T.close_hyphens(F.col("lines")), " ").cast("binary")).alias("text_md5"))
 
 
-@query("documents")
+def replaced_sql(text: str, rules: list[tuple[str, str]]) -> str:
+    for pattern, new in rules:
+        text = f"regexp_replace({text}, '{pattern}', {new}, 'g')"
+    return text
+
+
+STRIPPED_SQL = f"""SELECT doc_id, array_to_string(list_filter(CASE WHEN cut > 0 THEN l[1:cut - 1] ELSE l END, lambda x: NOT regexp_matches(x, '{R.FOOTNOTE_ENTRY}')), chr(10)) AS t
+FROM (SELECT doc_id, l, coalesce(list_position(list_transform(l, lambda x: regexp_matches(x, '{R.FOOTNOTE_LINE}')), true), 0) AS cut FROM (SELECT doc_id, string_split({TEXT}, chr(10)) AS l FROM documents))"""
+EVEN_SQL = "replace(replace(replace(replace(" + replaced_sql("t", [("[¹²³⁰-⁹]+", "''"), ("\\^\\d+", "''"), ("([\\p{L}\\p{N}_])\\s*\\[\\d+\\]", "'\\1'")]) + ", chr(13) || chr(10), chr(10)), chr(13), chr(10)), '\\n', chr(10)), '\\t', ' ')"
+CLEAN_SQL = replaced_sql(EVEN_SQL, [
+    ("[\\f\\v\\r\\x{85}\\x{A0}\\x{1680}\\x{2000}-\\x{200A}\\x{2028}\\x{2029}\\x{202F}\\x{205F}\\x{3000}]+", "' '"), ("[\\x00-\\x08\\x0b\\x0c\\x0e-\\x1f\\x7f]", "''"),
+    ("([\\p{L}\\p{N}_])-\\s*\\n\\s*([\\p{L}\\p{N}_])", "'\\1\\2'"), ("[ \\t]{2,}", "' '"), ("\\n{3,}", "chr(10) || chr(10)"), ("(?m)^[^a-zA-ZÀ-ɏ\\n]{0,3}$\\n?", "''"),
+])
+
+
+@query("documents", sql=f"SELECT doc_id, regexp_replace(t, '^\\s+|\\s+$', '', 'g') AS text FROM ({capped_sql(f"SELECT doc_id, replace({CLEAN_SQL}, 'ſ', 's') AS t FROM ({STRIPPED_SQL})")})")
 def clean_ocr(docs):
     return docs.select("doc_id", T.clean_ocr(F.coalesce("text", F.lit(""))).alias("text"))
 
 
-@query("documents")
+CORE = lambda c: f"trim({c}, '" + R.HYPHEN_STRIP.replace("'", "''") + "')"
+CAPS = "(length({0}) >= 2 AND upper({0}) = {0} AND lower({0}) <> {0})"
+
+
+@query("documents", sql=f"""
+WITH t AS (SELECT doc_id, string_split(upper(replace({TEXT}, 'ß', 'ss')), ' ') AS t FROM documents),
+e AS (SELECT doc_id, i, t[i] AS token, {CORE("t[i]")} AS c, coalesce({CORE("t[i - 1]")}, '') AS before FROM (SELECT doc_id, t, unnest(range(1, len(t) + 1)) AS i FROM t)),
+n AS (SELECT doc_id, i, CASE WHEN NOT {CAPS.format("c")} OR list_contains({R.CAPS_KEEP}, c) OR regexp_matches(c, '{R.ROMAN}') THEN token ELSE
+  left(token, instr(token, c) - 1) || CASE WHEN {CAPS.format("before")} AND list_contains({R.CAPS_LOWER}, c) THEN lower(c) ELSE array_to_string(list_transform(string_split(c, '-'), lambda p: upper(left(p, 1)) || lower(substring(p, 2))), '-') END || substring(token, instr(token, c) + length(c)) END AS w FROM e)
+SELECT doc_id, string_agg(w, ' ' ORDER BY i) AS text FROM n GROUP BY doc_id""")
 def recased(docs):
-    return docs.select("doc_id", T.recased(F.upper(F.coalesce("text", F.lit("")))).alias("text"))
+    return docs.select("doc_id", T.recased(F.upper(F.replace(F.coalesce("text", F.lit("")), F.lit("ß"), F.lit("ss")))).alias("text"))
 
 
-@query("documents")
+@query("documents", sql=f"""
+WITH s AS (SELECT doc_id || ':' || CAST(sentence_id AS INT) AS sentence_id, s AS sentence FROM ({SENTENCES})), d AS (SELECT * FROM s ORDER BY md5(sentence_id || '/42'), sentence_id LIMIT 150)
+SELECT sentence_id, sentence, array_to_string(list_transform(list_sort(y), lambda x: 'YEAR: ' || x), ' | ') AS predicted, CAST(len(y) AS INT) AS n_predicted, '' AS n_wrong, '' AS n_missed, '' AS notes
+FROM (SELECT *, regexp_extract_all(sentence, '[12][0-9]{{3}}') AS y FROM d)""")
 def review_sample(docs):
     s = segment.sentences(docs).select(F.concat_ws(":", "doc_id", "sentence_id").alias("sentence_id"), "sentence")
     found = s.select("sentence_id", F.explode(F.regexp_extract_all("sentence", F.lit("([12][0-9]{3})"), 1)).alias("text")).select("sentence_id", "text", F.lit("YEAR").alias("label"), F.lit(0).alias("start"))
@@ -464,3 +505,6 @@ def tag_scores(events):
     gold = F.expr(TAG)
     tokens = events.select(F.col("user_id").alias("key"), F.col("event_id").alias("n"), gold.alias("gold"), F.when(F.col("event_id") % 11 == 0, "O").otherwise(gold).alias("pred"), F.lit(False).alias("ignored"))
     return scoring.span_scores(tokens, lenient=False).select("type", "tp", "fp", "fn")
+
+
+from quire.plans import page_catalog  # noqa: E402,F401  (registers its queries here)

@@ -188,7 +188,7 @@ def test_catalog(spark, name):
     if name not in catalog.SQL:
         return
     con = duckdb.connect()
-    for t in ("documents", "events", "lineitem", "orders", "customer", "pages", "conversations", "labels"):
+    for t in ("documents", "events", "lineitem", "orders", "customer", "part", "pages", "conversations", "labels"):
         con.execute(f"CREATE VIEW {t} AS SELECT * FROM '{SF}/{t}.parquet'")
     found = con.execute(catalog.SQL[name])
     names = [c[0] for c in found.description]
