@@ -14,8 +14,8 @@ by state in a shuffled table, which every pass makes anew and which is joined ba
 
 in a class of C occurrences of V distinct tokens, N of them in the state. That is (c + 1) / (C + V + 1)
 where a token's states are those of its class, before the first pass and for unknown tokens. Baum-Welch runs first on a bounded sample, to leave
-the symmetric start, and then ``passes`` times over every training text, in segments of 128
-tokens: each partition's expected counts are summed by symbol with a shuffle. Scores come from the
+the symmetric start, and then ``passes`` times over every whole training text: each partition's
+expected counts are summed by symbol with a shuffle. Scores come from the
 scaled forward recursion over each whole text.
 
 Defined results: a null or empty text is the end alone; every input row gives one row, repeated
@@ -37,7 +37,9 @@ from quire.llm.common import SLICE
 from quire.session import discard, materialize
 
 END = b"\n"
+#: Symbols of a segment, and of the segments whose recursions are in memory at once.
 SEGMENT = 128
+TOGETHER = 1 << 19
 #: Bytes of a symbol.
 WIDTH = 4
 #: Expected counts are summed as integers of this fraction, so that no order of summing shows.
@@ -106,13 +108,19 @@ class Vocabulary:
         return self.own + self.classes
 
 
-def batches_of(lengths: np.ndarray, symbols: np.ndarray):
-    """Sequences, longest first: (their order, where each starts, how many reach step t)."""
-    order = np.argsort(-lengths, kind="stable")
-    starts = (np.cumsum(lengths) - lengths)[order]
-    sizes = lengths[order]
+def batches_of(lengths: np.ndarray, some: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Some of the sequences, longest first: (their numbers, places of all first symbols, all second ones and so on, how many reach step t)."""
+    order = some[np.argsort(-lengths[some], kind="stable")]
+    starts, sizes = (np.cumsum(lengths) - lengths)[order], lengths[order]
     reach = np.searchsorted(-sizes, -np.arange(sizes[0] if len(sizes) else 0), side="left")
-    return order, starts, reach
+    return order, np.concatenate([starts[:m] + t for t, m in enumerate(reach)]) if len(reach) else starts, reach
+
+
+def cut(lengths: np.ndarray, most: int) -> tuple[np.ndarray, np.ndarray]:
+    """Sizes of segments of ``most`` symbols at most, and each one's number in its sequence."""
+    count = -(-lengths // most)
+    number = np.arange(count.sum()) - np.repeat(np.cumsum(count) - count, count)
+    return np.minimum(most, np.repeat(lengths, count) - number * most), number
 
 
 class Hmm:
@@ -129,44 +137,98 @@ class Hmm:
 
     def log_likelihood(self, lengths: np.ndarray, symbols: np.ndarray) -> np.ndarray:
         """Natural log probability of each sequence, by the scaled forward recursion."""
-        order, starts, reach = batches_of(lengths, symbols)
-        total, alpha = np.zeros(len(lengths)), None
+        order, place, reach = batches_of(lengths, np.arange(len(lengths)))
+        total, symbols, at = np.zeros(len(lengths)), symbols[place], 0
         for t, m in enumerate(reach):
-            e = self.emit[symbols[starts[:m] + t]]
-            alpha = (self.start * e) if t == 0 else (alpha[:m] @ self.move) * e
-            s = alpha.sum(1)
-            alpha /= s[:, None]
+            e = self.emit[symbols[at : at + m]].T
+            alpha = e * (self.start[:, None] if t == 0 else self.move.T @ alpha[:, :m])
+            s = alpha.sum(0)
+            alpha /= s
             total[:m] += np.log(s)
+            at += m
         out = np.empty(len(lengths))
         out[order] = total
         return out
 
-    def expected(self, lengths: np.ndarray, symbols: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        """Expected counts of starts, of moves, and of symbols by state."""
+    def expected(self, lengths: np.ndarray, symbols: np.ndarray, segment: int = SEGMENT, together: int = TOGETHER) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Expected counts of starts, of moves, and of symbols by state, over whole sequences.
+
+        The recursions run in segments side by side, each with what its sequence says before and
+        after it, so that a long sequence costs no more than short ones and no count depends on cuts.
+        """
         k = len(self.start)
-        order, starts, reach = batches_of(lengths, symbols)
-        alphas, scales, emits = [], [], []
-        for t, m in enumerate(reach):
-            e = self.emit[symbols[starts[:m] + t]]
-            a = (self.start * e) if t == 0 else (alphas[-1][:m] @ self.move) * e
-            s = a.sum(1, keepdims=True)
-            a /= s
-            alphas.append(a)
-            scales.append(s)
-            emits.append(e)
-        moves, gamma = np.zeros((k, k)), np.empty((len(symbols), k))
-        beta = np.ones((len(lengths), k))
+        sizes, number = cut(lengths, segment)
+        ends = np.cumsum(sizes)
+        at = np.unique(ends // together, return_index=True)[1].tolist()
+        blocks = [(slice(i, j), symbols[ends[i] - sizes[i] : ends[j - 1]]) for i, j in zip(at, [*at[1:], len(sizes)])]
+        before, after, moves = self.across(sizes, number, blocks)
+        first, seen = np.zeros(k), np.zeros((len(self.emit), k))
+        for own, flat in blocks:
+            more, begin, gamma, flat = self.within(sizes[own], flat, before[:, own], after[:, own])
+            moves += more
+            first += begin[:, number[own] == 0].sum(1)
+            for state in range(k):
+                seen[:, state] += np.bincount(flat, weights=gamma[state], minlength=len(seen))
+        return first, moves * self.move, seen
+
+    def across(self, sizes: np.ndarray, number: np.ndarray, blocks: list[tuple[slice, np.ndarray]]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Of each segment (a column) the states expected before its first symbol and the weights of its last states
+        by what follows; and the moves from segment to segment, still without the factor ``move``."""
+        k = len(self.start)
+        before, after, moves = np.repeat(self.start[:, None], len(sizes), 1), np.ones((k, len(sizes))), np.zeros((k, k))
+        several = (number > 0) | np.append(number[1:] > 0, False)[: len(number)]
+        if not several.any():
+            return before, after, moves
+        # From each state before a segment to each state at its end: a product over its symbols.
+        through = np.empty((k, k, len(sizes)))
+        for own, flat in blocks:
+            some = np.nonzero(several[own])[0]
+            order, place, reach = batches_of(sizes[own], some)
+            emits, product, at = self.emit[flat[place]].T.copy(), np.zeros((k, k, len(order))), 0
+            for t, m in enumerate(reach):
+                e = emits[:, at : at + m]
+                product[:, :, :m] = np.eye(k)[:, :, None] * e if t == 0 else np.matmul(self.move.T, product[:, :, :m]) * e
+                if t % 8 == 7:
+                    product[:, :, :m] /= product[:, :, :m].sum((0, 1))
+                at += m
+            through[:, :, own.start + order] = product / product.sum((0, 1))
+        rounds = np.split(np.argsort(number, kind="stable"), np.cumsum(np.bincount(number))[:-1])
+        last = np.empty((k, len(sizes)))
+        for i in rounds[1:]:
+            ending = np.einsum("an,abn->bn", before[:, i - 1], through[:, :, i - 1])
+            last[:, i - 1] = ending / ending.sum(0)
+            before[:, i] = self.move.T @ last[:, i - 1]
+        for i in rounds[:0:-1]:
+            weight = np.einsum("abn,bn->an", through[:, :, i], after[:, i])
+            weight /= (before[:, i] * weight).sum(0)
+            moves += last[:, i - 1] @ weight.T
+            after[:, i - 1] = self.move @ weight
+        return before, after, moves
+
+    def within(self, sizes: np.ndarray, symbols: np.ndarray, before: np.ndarray, after: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+        """The moves in segments, without the factor ``move``; the states at their starts; the states of each symbol, and these symbols."""
+        order, place, reach = batches_of(sizes, np.arange(len(sizes)))
+        symbols = symbols[place]
+        emits, gamma, scales = self.emit[symbols].T.copy(), np.empty((len(self.start), len(symbols))), np.empty(len(symbols))
+        at = np.cumsum(reach) - reach
+        for t, (i, m) in enumerate(zip(at.tolist(), reach.tolist())):
+            a = emits[:, i : i + m] * (before[:, order] if t == 0 else self.move.T @ a[:, :m])
+            np.sum(a, 0, out=scales[i : i + m])
+            a /= scales[i : i + m]
+            gamma[:, i : i + m] = a
+        moves, beta = np.zeros_like(self.move), after[:, order]
         for t in range(len(reach) - 1, -1, -1):
-            m = reach[t]
+            i, m = at[t], reach[t]
             if t + 1 < len(reach):
-                after = reach[t + 1]
-                w = emits[t + 1] * beta[:after] / scales[t + 1]
-                moves += alphas[t][:after].T @ w
-                beta[:after] = w @ self.move.T
-            gamma[starts[:m] + t] = alphas[t] * beta[:m]
-        at = np.column_stack([np.bincount(symbols, weights=gamma[:, i], minlength=len(self.emit)) for i in range(k)])
-        first = gamma[np.cumsum(lengths) - lengths].sum(0) if len(lengths) else np.zeros(k)
-        return first, moves * self.move, at
+                j, n = at[t + 1], reach[t + 1]
+                w = emits[:, j : j + n] * beta[:, :n]
+                w /= scales[j : j + n]
+                moves += gamma[:, i : i + n] @ w.T
+                beta[:, :n] = self.move @ w
+            gamma[:, i : i + m] *= beta[:, :m]
+        begin = np.empty_like(before)
+        begin[:, order] = gamma[:, : len(order)]
+        return moves, begin, gamma, symbols
 
     @classmethod
     def of_counts(cls, first: np.ndarray, moves: np.ndarray, at: np.ndarray, own: int) -> Hmm:
@@ -175,15 +237,8 @@ class Hmm:
         return cls(first / first.sum(), moves / moves.sum(1, keepdims=True), at / at.sum(0))
 
 
-def segments(blobs: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Lengths of segments of SEGMENT symbols at most, and all symbols in a row."""
-    lengths = []
-    for b in blobs:
-        whole, rest = divmod(len(b) // WIDTH, SEGMENT)
-        lengths.extend(repeat(SEGMENT, whole))
-        if rest:
-            lengths.append(rest)
-    return np.array(lengths, dtype=np.int64), symbols_of(blobs)
+def lengths_of(blobs: list[bytes]) -> np.ndarray:
+    return np.array([len(b) // WIDTH for b in blobs], dtype=np.int64)
 
 
 def symbols_of(blobs: list[bytes]) -> np.ndarray:
@@ -279,8 +334,9 @@ def baum_welch_pass(train: DataFrame, model: Hmm, vocabulary: Vocabulary, rare:
         for batch in batches:
             for at in range(0, batch.num_rows, 1024):
                 part = batch.slice(at, 1024)
-                lengths, flat = segments(part.column(0).to_pylist())
-                local = Rare(own, within, known, flat, part.column(1), part.column(2) if joined else None)
+                blobs = part.column(0).to_pylist()
+                lengths = lengths_of(blobs)
+                local = Rare(own, within, known, symbols_of(blobs), part.column(1), part.column(2) if joined else None)
                 first, moves, seen = local.model.expected(lengths, local.flat)
                 if local.names:
                     yield rows(np.full(len(local.names), -1), list(local.names), np.bincount(local.at), seen[symbols:])
@@ -321,12 +377,15 @@ def score_texts(
     texts = materialize(encoded(docs, held, vocabulary, key, text), "symbols")
     train = texts.filter(~F.col("held_out"))
     model = Hmm.blank(states, vocabulary.symbol_counts)
+    # The warm-up sees texts of all lengths, in an order by hash until they have ``sample_tokens``.
     drawn, size = [], 0
-    for r in train.filter(F.length("symbols") <= 8 * SEGMENT * WIDTH).select("symbols", F.xxhash64("rid").alias("h")).orderBy("h").limit(sample_rows).collect():
-        if (size := size + len(r["symbols"]) // WIDTH) <= sample_tokens:
-            drawn.append(bytes(r["symbols"]))
+    for r in train.select("rid", F.length("symbols").alias("n"), F.xxhash64("rid").alias("h")).orderBy("h").limit(sample_rows).collect():
+        if size < sample_tokens:
+            drawn.append(r["rid"])
+            size += r["n"] // WIDTH
     if drawn:
-        lengths, flat = segments(drawn)
+        blobs = [bytes(r["symbols"]) for r in train.filter(F.col("rid").isin(drawn)).select("rid", "symbols").orderBy("rid").collect()]
+        lengths, flat = lengths_of(blobs), symbols_of(blobs)
         for _ in range(sample_passes):
             first, moves, at = model.expected(lengths, flat)
             # What the sample hasn't seen keeps the shape of the whole corpus.
@@ -344,7 +403,7 @@ def score_texts(
         own, within, known = shared.value
         for batch in batches:
             blobs = batch.column(1).to_pylist()
-            lengths = np.array([len(b) // WIDTH for b in blobs], dtype=np.int64)
+            lengths = lengths_of(blobs)
             local = Rare(own, within, known, symbols_of(blobs), batch.column(2), batch.column(3))
             found = local.model.log_likelihood(lengths, local.flat) / np.log(10) if blobs else np.zeros(0)
             text = np.repeat(np.arange(len(blobs)), [len(o) for o in batch.column(2)])

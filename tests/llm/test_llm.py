@@ -359,8 +359,16 @@ def test_language_model(spark, docs, rows):
                 moves[x, y] += share
             for s, x in zip(own, q):
                 seen[s, x] += share
-    for a, b in zip(m.expected(np.array([3, 2, 1]), np.array(sum(texts, []))), (first, moves, seen)):
-        assert np.allclose(a, b)
+    lengths, flat = np.array([3, 2, 1]), np.array(sum(texts, []))
+    for cuts in ({}, {"segment": 1}, {"segment": 2, "together": 2}):
+        for a, b in zip(m.expected(lengths, flat, **cuts), (first, moves, seen)):
+            assert np.allclose(a, b)
+    # Long texts, too, count the same however they are cut.
+    lengths, whole = np.array([700, 1, 90, 300]), {"segment": 1000, "together": 10_000}
+    flat = rng.integers(0, 4, lengths.sum())
+    for cuts in ({}, {"segment": 7, "together": 50}):
+        for a, b in zip(m.expected(lengths, flat, **cuts), m.expected(lengths, flat, **whole)):
+            assert np.allclose(a, b)
     assert score_texts(empty(docs), F.lit(False)).count() == 0
 
 
