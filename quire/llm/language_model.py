@@ -319,7 +319,7 @@ def with_rare(texts: DataFrame, rare: DataFrame | None, states: int) -> DataFram
 
 
 def baum_welch_pass(train: DataFrame, model: Hmm, vocabulary: Vocabulary, rare: DataFrame | None, within: np.ndarray | None) -> tuple[Hmm, DataFrame, np.ndarray]:
-    """One expectation over all training texts, summed across partitions, and the maximisation: the model, the counts of rare tokens, those of classes."""
+    """One expectation over all training texts, summed across partitions, and the maximisation: the model, the written sums (those of rare tokens in rows below 0), the counts of classes."""
     states, symbols = len(model.start), vocabulary.symbols
     shared = train.sparkSession.sparkContext.broadcast((model, within, (vocabulary.own, vocabulary.class_counts, vocabulary.class_sizes)))
     columns = [f"s{i}" for i in range(states)]
@@ -353,7 +353,7 @@ def baum_welch_pass(train: DataFrame, model: Hmm, vocabulary: Vocabulary, rare:
     sums = expected.filter("row >= 0").select("row", *columns).toArrow()
     table = np.zeros((symbols + states + 1, states))
     table[np.array(sums["row"])] = np.column_stack([np.array(sums[c], dtype=np.float64) for c in columns]) / UNIT if sums.num_rows else 0
-    return Hmm.of_counts(table[-1], table[symbols : symbols + states], table[:symbols], vocabulary.own), expected.filter("row < 0"), table[vocabulary.own : symbols]
+    return Hmm.of_counts(table[-1], table[symbols : symbols + states], table[:symbols], vocabulary.own), expected, table[vocabulary.own : symbols]
 
 
 def score_texts(
@@ -391,10 +391,14 @@ def score_texts(
             # What the sample hasn't seen keeps the shape of the whole corpus.
             model = Hmm.of_counts(first, moves, at + 0.1 * vocabulary.symbol_counts[:, None] / max(1.0, vocabulary.symbol_counts.sum()) * at.sum(0), vocabulary.own)
     # Counts of the tokens without a symbol of their own; their factors are 1 until a pass has seen them.
-    rare = within = None
+    rare = within = old = None
     for _ in range(passes if n else 0):
-        model, rare, within = baum_welch_pass(train, model, vocabulary, rare, within)
-    if rare is None:
+        model, expected, within = baum_welch_pass(train, model, vocabulary, rare, within)
+        discard(old)
+        rare, old = expected.filter("row < 0"), expected
+    if rare is not None:
+        discard(counts)
+    else:
         rare = counts.filter(bucket < cut).select("token", "c", *[F.lit(0).cast("long").alias(f"s{i}") for i in range(states)])
 
     shared = docs.sparkSession.sparkContext.broadcast((model, within, (vocabulary.own, vocabulary.class_counts, vocabulary.class_sizes)))
@@ -425,4 +429,4 @@ def score_texts(
     )
 
 
-__all__ = ["Hmm", "Vocabulary", "discard", "score_texts", "token_table", "tokens"]
+__all__ = ["Hmm", "Vocabulary", "score_texts", "token_table", "tokens"]

@@ -170,4 +170,4 @@ def pack(
     return dealt.mapInArrow(run, f"`{key}` {kind}, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
-__all__ = ["Bins", "discard", "encoder", "pack", "pieces"]
+__all__ = ["Bins", "encoder", "pack", "pieces"]
