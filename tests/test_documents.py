@@ -194,3 +194,27 @@ def test_catalog(spark, name):
     names = [c[0] for c in found.description]
     assert sorted(names) == sorted(df.columns)
     assert sorted((tuple(same(r[c]) for c in names) for r in rows), key=repr) == sorted((tuple(map(same, r)) for r in found.fetchall()), key=repr)
+
+
+def test_page_xml_and_token_files(spark, tmp_path):
+    from quire.sources import readers
+
+    word = lambda t, x, c: f'<Word id="w{x}"><Coords points="{x},10 {x + 40},10 {x + 40},30 {x},30"/><TextEquiv conf="{c}"><Unicode>{t}</Unicode></TextEquiv></Word>'
+    line = lambda n, inner: f'<TextLine id="l{n}"><Coords points="0,{n} 90,{n + 20}"/>{inner}</TextLine>'
+    body = line(1, word("Die", 0, 0.9) + word(" ", 45, 0.1) + word("Kirche", 50, 0.8)) + line(2, "<TextEquiv><Unicode>own text</Unicode></TextEquiv>")
+    (tmp_path / "x").mkdir()
+    (tmp_path / "x" / "p_0012.xml").write_text(
+        '<?xml version="1.0"?><PcGts xmlns="http://example.org/p"><Page imageFilename="a.png" imageWidth="100" imageHeight="200">'
+        f'<ImageRegion id="i"><Coords points="5,6 7,9"/></ImageRegion><TextRegion id="r0"/><TextRegion id="r1">{body}</TextRegion></Page></PcGts>'
+    )
+    got = readers.page_xml(spark, str(tmp_path / "x")).orderBy("line_idx").collect()
+    assert [(r.page, r.width, r.height, r.region, r.line_idx, r.line_id, r.plain) for r in got] == [("0012", 100, 200, "r1", 0, "l1", "Die Kirche"), ("0012", 100, 200, "r1", 1, "l2", "own text")]
+    assert [(w.text, w.conf, w.x0, w.y1) for w in got[0].words] == [("Die", 0.9, 0, 30), ("Kirche", 0.8, 50, 30)] and [tuple(b) for b in got[0].images] == [(5, 6, 7, 9)]
+    assert [r.text for r in readers.plain_lines(readers.page_xml(spark, str(tmp_path / "x"))).orderBy("line_idx").collect()] == ["Die Kirche", "own text"]
+
+    (tmp_path / "t" / "v2").mkdir(parents=True)
+    for name in ("HIPE-2022-v2.1-one-train-de.tsv", "HIPE-2022-v2.1-one-dev-de.tsv", "other.tsv"):
+        (tmp_path / "t" / "v2" / name).write_text("TOKEN\tNE-COARSE-LIT\n")
+    wanted = spark.createDataFrame([("one", "train", "de"), ("one", "test", "de")], "dataset string, split string, lang string")
+    found = {r.split: r.path for r in readers.iob_files(spark, str(tmp_path / "t"), wanted).collect()}
+    assert found["train"].endswith("HIPE-2022-v2.1-one-train-de.tsv") and found["test"] is None
