@@ -145,7 +145,7 @@ def close_hyphens(lines: Column) -> Column:
 
     A fold over the lines: what it carries is the lines so far and how to take the next line's first token.
     """
-    cleaned = F.transform(lines, F.btrim)
+    cleaned = F.transform(lines, lambda x: F.btrim(x))  # btrim itself would take the place as its second argument
     start = F.struct(F.array().cast("array<string>").alias("out"), F.lit("").alias("pull"))
 
     def step(acc: Column, x: Column) -> Column:

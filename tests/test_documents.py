@@ -37,6 +37,11 @@ def test_hyphens(spark):
     assert got == [["Glaser-, Schlosser-, Steinhauer-", "und Schreinerwerk"], ["RITTMEYER", "kam"], ["THIEME-BECKER"], ["von 1954-", "Kultusgeräte."]]
 
 
+def test_lines_keep_digits_at_their_ends(spark):
+    rows = spark.createDataFrame([(["0997 Haus", " 1534-", "1 Bild 1", "12 Raum 2"],)], "lines array<string>")
+    assert rows.select(T.close_hyphens(F.col("lines"))).first()[0] == ["0997 Haus", "1534-", "1 Bild 1", "12 Raum 2"]
+
+
 def test_json(spark):
     broken = '```json\n{"relationships": [{"subject": "A", "object": "B"}, {"subject": "C", "obj'
     kind = "struct<subject:string,object:string>"
