@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from quire.functions import json_repair
 from quire.functions import text as T
 from quire.operators import layout, mentions, relations, scoring, segment, stats
-from quire.plans import catalog
+from quire.plans import catalog, page_catalog
 from quire.sources import readers, sinks
 from quire.streaming import limiter
 
@@ -115,6 +115,12 @@ def test_split_lines_keep_their_outer_boxes(spark):
     assert [(r.x0, r.y0, r.x1, r.y1, r.line_id) for r in out] == [(100, 100, 800, 150, "l_c1"), (1400, 100, 2350, 150, "l_c2")]
 
 
+@pytest.mark.parametrize("name", "split_halves page_folios paragraph_runs line_strata footnote_blocks titled_paragraphs stray_words noise_reasons line_lookup".split())
+def test_lines_are_shuffled_once(spark, name):
+    plan = catalog.QUERIES[name](spark, SF)._jdf.queryExecution().executedPlan().toString()
+    assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
+
+
 def test_markers(spark):
     texts = ["Stadt' und", "a) Kirche*, (Chor) Bild) neu", "«Farna»1 ruht? vollendet?,", "1707 Haus12 Haus1\nWort]. !", "(auf Seite 3) b3) «x"]
     pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page int, text string")
