@@ -68,10 +68,18 @@ def page_ranges(pages: DataFrame, keys: list[str], page: str) -> DataFrame:
     return runs.groupBy(*keys).agg(F.array_sort(F.collect_list(F.struct("a", name.alias("r")))).alias("all")).select(*keys, F.array_join(F.transform("all", lambda x: x["r"]), ", ").alias("ranges"))
 
 
-def regex_preview(docs: DataFrame, pattern: str, *, key: str = "doc_id", text: str = "text", width: int = 40, most: int = 20) -> DataFrame:
-    """tk_match_preview: the first matches of each text with their surroundings."""
-    context = F.regexp_extract_all(F.replace(F.col(text), F.lit("\n"), F.lit(" ")), F.lit(f"(.{{0,{width}}}(?:{pattern}).{{0,{width}}})"), 1)
-    return docs.select(key, F.posexplode(F.slice(context, 1, most)).alias("n", "preview"))
+def regex_preview(docs: DataFrame, pattern: str, *, key: str = "doc_id", text: str = "text", width: int = 40, most: int = 20, never: str | None = None) -> DataFrame:
+    """tk_match_preview: the first matches of each text with their surroundings.
+
+    The expression tries ``width`` places from each character on. ``never`` is a class of characters that no match has:
+    of a stretch of these, only what surroundings reach stays, parted by a line's end, which they don't cross.
+    """
+    flat = whole = F.replace(F.col(text), F.lit("\n"), F.lit(" "))
+    if never is not None:
+        flat = F.regexp_replace(flat, f"({never}{{{width + 1}}}){never}+({never}{{{width + 1}}})", "$1\n$2")
+    context = F.regexp_extract_all(flat, F.lit(f"(?d)(.{{0,{width}}}(?:{pattern}).{{0,{width}}})"), 1)
+    found = docs.filter(whole.rlike(pattern)) if never is not None else docs
+    return found.select(key, F.posexplode(F.slice(context, 1, most)).alias("n", "preview"))
 
 
 def page_texts(rows: DataFrame, pages: DataFrame, *, on: list[str], text: str = "text") -> DataFrame:
