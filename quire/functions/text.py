@@ -17,6 +17,11 @@ def replaced(col: Column, rules: list[tuple[str, str]]) -> Column:
     return reduce(lambda c, r: F.regexp_replace(c, U + r[0], r[1]), rules, col)
 
 
+def bound(value: Column, f) -> Column:
+    """f(value), with the value computed once however often f uses it: an expression's columns are copied to each use."""
+    return F.get(F.transform(F.array(value), lambda v: f(v)), F.lit(0))
+
+
 def literals(values) -> Column:
     return F.array(*[F.lit(v) for v in values])
 
@@ -66,7 +71,10 @@ def norm_relaxed(text: Column) -> Column:
 
 def small_caps(text: Column) -> Column:
     """tx_small_caps: runs of letters in capitals or with erratic capitals get one capital."""
-    plain = F.replace(text, F.lit("ı"), F.lit("i"))
+    return bound(F.replace(text, F.lit("ı"), F.lit("i")), small_caps_in)
+
+
+def small_caps_in(plain: Column) -> Column:
     letters = "[A-Za-zÀ-ɏ]+"
     words = F.regexp_extract_all(plain, F.lit(f"({letters})"), 1)
     between = F.split(plain, letters, -1)
@@ -86,10 +94,12 @@ def small_caps(text: Column) -> Column:
 
 def strip_footnotes(text: Column) -> Column:
     """tx_strip_footnotes: entries go, and everything from a separating line on; then marks in the text."""
-    lines = F.split(text, "\n", -1)
-    separates = F.transform(lines, lambda x: x.rlike(U + R.FOOTNOTE_LINE))
-    at = F.array_position(separates, F.lit(True)).cast("int")
-    main = F.filter(F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines), lambda x: ~x.rlike(U + R.FOOTNOTE_ENTRY))
+
+    def before(lines: Column) -> Column:
+        at = F.array_position(F.transform(lines, lambda x: x.rlike(U + R.FOOTNOTE_LINE)), F.lit(True)).cast("int")
+        return bound(at, lambda at: F.when(at > 0, F.slice(lines, F.lit(1), at - 1)).otherwise(lines))
+
+    main = F.filter(bound(F.split(text, "\n", -1), before), lambda x: ~x.rlike(U + R.FOOTNOTE_ENTRY))
     return replaced(F.array_join(main, "\n"), [("[¹²³⁰-⁹]+", ""), (r"\^\d+", ""), (r"(?<=\w)\s*\[\d+\]", "")])
 
 
