@@ -123,21 +123,30 @@ def core_of(token: Column) -> Column:
     return F.btrim(token, F.lit(R.HYPHEN_STRIP))
 
 
+def core_if_trimmed(token: Column) -> Column:
+    """core_of; most tokens have nothing to trim, which two look-ups tell sooner than trimming."""
+    strip = F.lit(R.HYPHEN_STRIP)
+    return F.when(strip.contains(F.left(token, F.lit(1))) | strip.contains(F.right(token, F.lit(1))), core_of(token)).otherwise(token)
+
+
 def recased(text: Column) -> Column:
     """tx_recase: capitals become names; sigla and Roman numerals stay; function words within a run are small."""
-    tokens = F.split(text, " ", -1)
-    before = F.concat(F.array(F.lit("")), F.slice(tokens, F.lit(1), F.size(tokens) - 1))  # zipped: a lookup by place would split anew for each token
     caps = lambda c: (F.length(c) >= 2) & (F.upper(c) == c) & (F.lower(c) != c)
-
-    def one(token: Column, last: Column) -> Column:
-        c = core_of(token)
-        parts = F.array_join(F.transform(F.split(c, "-", -1), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, F.lit(2), F.length(p))))), "-")
-        new = F.when(caps(core_of(last)) & c.isin(R.CAPS_LOWER), F.lower(c)).otherwise(parts)
-        at = F.instr(token, c)
-        done = F.concat(F.left(token, at - 1), new, F.substring(token, at + F.length(c), F.length(token)))
-        return F.when(caps(c) & ~c.isin(R.CAPS_KEEP) & ~c.rlike(R.ROMAN), done).otherwise(token)
-
-    return F.array_join(F.zip_with(tokens, before, one), " ")
+    parts = lambda c: F.array_join(F.transform(F.split(c, "-", -1), lambda p: F.concat(F.upper(F.left(p, F.lit(1))), F.lower(F.substring(p, F.lit(2), F.length(p))))), "-")
+    one_part = lambda c: F.concat(F.upper(F.left(c, F.lit(1))), F.lower(F.substring(c, F.lit(2), F.length(c))))
+    keeps, small = F.lit("|" + "|".join(R.CAPS_KEEP) + "|"), F.lit("|" + "|".join(R.CAPS_LOWER) + "|")
+    among = lambda c, names: names.contains(F.concat(F.lit("|"), c, F.lit("|"))) & ~c.contains("|")
+
+    def one(x: Column, last: Column) -> Column:
+        token, c = x["token"], x["c"]
+        new = F.when(F.coalesce(last["caps"], F.lit(False)) & among(c, small), F.lower(c)).when(c.contains("-"), parts(c)).otherwise(one_part(c))
+        done = F.when(token == c, new).otherwise(bound(F.instr(token, c), lambda at: F.concat(F.left(token, at - 1), new, F.substring(token, at + F.length(c), F.length(token)))))
+        return F.when(x["caps"] & ~among(c, keeps) & ~c.rlike(R.ROMAN), done).otherwise(token)
+
+    # Step by step: what a lambda uses several times is a field of its argument, not an expression.
+    cored = F.transform(F.split(text, " ", -1), lambda t: F.struct(t.alias("token"), core_if_trimmed(t).alias("c")))
+    marked = F.transform(cored, lambda x: F.struct(x["token"].alias("token"), x["c"].alias("c"), caps(x["c"]).alias("caps")))
+    return bound(marked, lambda all: F.array_join(F.zip_with(all, F.concat(F.array(F.get(all, F.lit(-1))), F.slice(all, F.lit(1), F.size(all) - 1)), one), " "))
 
 
 def hyphen_action(head: Column, tail: Column) -> Column:

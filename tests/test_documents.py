@@ -1,5 +1,7 @@
 """Document operators on small rows, layout on a synthetic page, the catalog against DuckDB."""
 
+import re
+
 import duckdb
 import pytest
 from pyspark.sql import functions as F
@@ -7,7 +9,7 @@ from pyspark.sql import functions as F
 from quire.functions import json_repair
 from quire.functions import text as T
 from quire.operators import layout, mentions, relations, scoring, segment, stats
-from quire.plans import catalog, page_catalog
+from quire.plans import catalog
 from quire.sources import readers, sinks
 from quire.streaming import limiter
 
@@ -121,6 +123,54 @@ def test_lines_are_shuffled_once(spark, name):
     assert plan.count("Exchange hashpartitioning") == 1 and "SortMergeJoin" not in plan
 
 
+def test_units_without_a_window_of_texts_by_volume(spark):
+    texts = ["one", "two.", "three", "Title", "four", "five,", "six"]
+    rows = [(v, n // 3, n % 3, "title" if t == "Title" else "body", t) for v in ("a", None) for n, t in enumerate(texts)]
+    paras = spark.createDataFrame(rows, "volume string, page int, para_idx int, stratum string, text string")
+    out = layout.joined_body(paras)
+    want = [("one two.", 0), ("three", 0), ("four five, six", 1)]
+    assert sorted((r.volume or "", r.unit, r.text, r.page) for r in out.collect()) == sorted((v, i + 1, t, p) for v in ("a", "") for i, (t, p) in enumerate(want))
+    plan = out._jdf.queryExecution().optimizedPlan().toString()
+    assert not any("Window" in x and "[volume#" in x.split("windowspecdefinition(")[1].split("ASC")[0] for x in plan.splitlines() if "windowspecdefinition(" in x)
+
+
+def test_terms_are_counted_in_their_row(spark):
+    docs = spark.createDataFrame([(1, "b a b a_1 B ccc"), (2, ""), (3, None), (4, "aa " * 5000), (1, "ccc")], "doc_id long, text string")
+    assert [tuple(r) for r in docs.filter("doc_id = 4").select(stats.counted(stats.terms_in(F.col("text"))).alias("c")).first().c] == [("aa", 5000)]
+    got = {(r.doc_id, r.term): r.weight for r in stats.tfidf(docs).collect()}
+    assert set(got) == {(1, "a_1"), (1, "ccc"), (4, "aa")} and got[4, "aa"] == 1
+    assert stats.tfidf(docs)._jdf.queryExecution().executedPlan().toString().count("Exchange hashpartitioning") == 2
+
+
+@pytest.mark.parametrize("make, trims", [(T.recased, 2), (T.clean_ocr, 0)])
+def test_expressions_are_not_copied(spark, make, trims):
+    plan = spark.range(1).select(F.col("id").cast("string").alias("text")).select(make(F.col("text")))._jdf.queryExecution().analyzed().toString()
+    assert plan.count("btrim(") <= trims and plan.count("regexp_replace(text") + plan.count("split(text") + plan.count("split(cast") <= 2
+
+
+def test_recased_tokens(spark):
+    text = "(DER) VON, DER-ALTAR |UB| UB III. A, «ST.-GALLEN» x ÉGLISE! '' "
+    assert one(spark, T.recased, text, "", "VON DER") == ["(Der) von, Der-Altar |UB| UB III. A, «St.-Gallen» x Église! '' ", "", "Von der"]
+
+
+def test_spelled_long_and_short(spark):
+    words = ["abcdefghijklmnop", "abcdefghijklm", "kirche", "kirchen", "ab", "xyzabcdefghijkl"]
+    terms = ["abXdefghijklmnopq", "abcdefghijk", "bcdefghijklmX", "kirhe", "xkirchenx", "a", "yzabcdefgXhijkl", "nothing", "abcdefghijklmn"]
+    lexicon = spark.createDataFrame([(w, i) for i, w in enumerate(words)], "word string, n long")
+    out = stats.spelled(spark.createDataFrame([(t,) for t in terms], "term string"), lexicon)
+    brute = spark.createDataFrame([(t,) for t in terms], "term string").crossJoin(lexicon).withColumn("d", F.levenshtein("term", "word")).filter("d <= 2")
+    want = {r.term: r.b.word for r in brute.groupBy("term").agg(F.min(F.struct("d", (-F.col("n")).alias("m"), "word")).alias("b")).collect()}
+    assert {r.term: r.corrected for r in out.collect()} == {t: want.get(t) for t in terms}
+
+
+def test_previews_pass_over_stretches(spark):
+    texts = ["x" * 300 + "1999" + "y" * 300 + "12 z" + "w" * 90 + "21066 1534\n" + "v" * 50, "a\r1999 b", "none", "12" + "q" * 81 + "1500"]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id int, text string")
+    got = {(r.doc_id, r.n): r.preview for r in segment.regex_preview(docs, "[12][0-9]{3}", never="[^0-9]").collect()}
+    want = {(i, n): m for i, t in enumerate(texts) for n, m in enumerate(re.findall(".{0,40}(?:[12][0-9]{3}).{0,40}", t.replace("\n", " ")))}
+    assert got == want
+
+
 def test_markers(spark):
     texts = ["Stadt' und", "a) Kirche*, (Chor) Bild) neu", "«Farna»1 ruht? vollendet?,", "1707 Haus12 Haus1\nWort]. !", "(auf Seite 3) b3) «x"]
     pages = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "page int, text string")
